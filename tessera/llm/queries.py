@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, license, mixing, pii, urlfilter
+from tessera.llm import ann, decontam, langid, license, mixing, pii, urlfilter
 from tessera.llm.common import held_bucket
 
 #: The rules of the URL query (host, path, verdict).
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -96,6 +100,6 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_url_filter, op4_pii, op5_decontamination, op7_license_scan, op8_language_id, op10_pareto_mix)
+    f.__name__: f for f in (op1_ann, op3_url_filter, op4_pii, op5_decontamination, op7_license_scan, op8_language_id, op10_pareto_mix)
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": SQL_OP3, "op5_decontamination": SQL_OP5}
