@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontam, langid, license, mixing, pii, urlfilter
+from tessera.llm import ann, ctw, decontam, jaccard, langid, license, mixing, pii, urlfilter
 from tessera.llm.common import held_bucket
 
 #: The rules of the URL query (host, path, verdict).
@@ -24,6 +24,10 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -84,6 +88,11 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
 
 
+def op6_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ctw.ctw_scores(docs, held_bucket(F.col("doc_id")) == 1)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -100,6 +109,6 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op3_url_filter, op4_pii, op5_decontamination, op7_license_scan, op8_language_id, op10_pareto_mix)
+    f.__name__: f for f in (op1_ann, op2_jaccard_join, op3_url_filter, op4_pii, op5_decontamination, op6_ctw_scores, op7_license_scan, op8_language_id, op10_pareto_mix)
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": SQL_OP3, "op5_decontamination": SQL_OP5}
