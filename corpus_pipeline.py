@@ -1,15 +1,75 @@
-"""The corpus pipeline (stages are added as their operators are finished)."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Language ID, near-duplicate removal, benchmark decontamination, pseudonyms and mixing, in this order. A stage takes
+(spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontam, jaccard, langid, mixing, pii
+from tessera.llm.common import fresh, held_bucket, with_checkpoints
+from tessera.llm.queries import PII_KEY
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter (``und``) go; the languages are learned from the rows that are not held out."""
+    held = held_bucket(F.col("doc_id")) == 0
+    prototypes = langid.learn(docs.where(~held))
+    return langid.identify(docs, prototypes, prefix="found_").where("found_lang_pred <> 'und'").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with the smallest id stays, once."""
+    found = jaccard.jaccard_components(docs, keyed=True)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    name = fresh(docs, "_hash")
+    rows = docs.withColumn(name, F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows[name] == kept["kept_hash"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", name]).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more are benchmark phrases go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.decontaminate(docs, items).where(~F.col("contaminated")).select(docs.columns)
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become pseudonyms; n_chars follows the text."""
+    out = pii.pseudonymise(docs, PII_KEY)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes, with the number of copies; the rest goes."""
+    return mixing.pareto_mix(docs).where("copies > 0")
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("pii", pseudonymise),
+    ("mixing", mix_sources),
+]
+#: Language ID, components and pseudonyms are not expressed in SQL; the tests compare with brute-force versions.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each result is written to the shared checkpoint folder and read again."""
+    with_checkpoints(spark)
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = f"{base}/pipeline-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{name}"
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

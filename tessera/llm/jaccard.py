@@ -210,17 +210,17 @@ def block_keys(hashes: np.ndarray, at: np.ndarray, t: Fraction) -> tuple[np.ndar
 
 
 def described(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """doc_id, n, sid and sketch of every row."""
+    """doc_id, text_hash, n, sid and sketch of every row."""
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at, _ = buffers(b.column(1))
             h, s = shingle_sets(data, at, words)
             made = [sketch(h[s[i] : s[i + 1]]) for i in range(len(s) - 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(s)), pa.array(set_ids(h, s)), pa.array(made, pa.binary())], names=["doc_id", "n", "sid", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(s)), pa.array(set_ids(h, s)), pa.array(made, pa.binary())], names=["doc_id", "text_hash", "n", "sid", "sketch"])
 
     small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(describe, f"doc_id {kind}, n long, sid long, sketch binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"), F.xxhash64(text).alias("text_hash")).mapInArrow(describe, f"doc_id {kind}, text_hash long, n long, sid long, sketch binary")
 
 
 def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int) -> DataFrame:
@@ -329,8 +329,11 @@ def _set(raw: bytes, words: int) -> np.ndarray:
     return shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64), words)[0]
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_copies (rows with the same set) of every row."""
+def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, doc_id: str = "doc_id", text: str = "text", keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_copies (rows with the same set) of every row.
+
+    keyed: also text_hash (xxhash64 of the text), which tells rows of one id apart.
+    """
     t = threshold
     rows = saved(described(docs, doc_id, text, words))
     sets = saved(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
@@ -370,9 +373,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     named = sets.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", "copies", F.coalesce("root", "sid").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component"))
     named = named.join(smallest, "root").select("sid", "component", "copies")
-    out = rows.select("doc_id", "n", "sid").join(named, "sid", "left")
+    out = rows.select("doc_id", "text_hash", "n", "sid").join(named, "sid", "left")
     whole = F.col("n") > 0
-    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(whole, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(whole, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"))
+    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(whole, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(whole, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"), *(["text_hash"] if keyed else []))
 
 
 def _within(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:

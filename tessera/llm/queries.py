@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, ctw, decontam, jaccard, langid, license, mixing, pii, urlfilter
+from tessera.llm import ann, ctw, decontam, jaccard, langid, license, mixing, pii, toxicity, urlfilter
 from tessera.llm.common import held_bucket
 
 #: The rules of the URL query (host, path, verdict).
@@ -104,11 +104,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit_chain(docs, labels, ("low_quality", "toxic"))
+    return toxicity.score_chain(docs, chain).select("doc_id", "p_low_quality", "p_toxic", "is_low_quality", F.col("is_toxic").alias("toxic"), F.col("p_toxic").alias("score"))
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_jaccard_join, op3_url_filter, op4_pii, op5_decontamination, op6_ctw_scores, op7_license_scan, op8_language_id, op10_pareto_mix)
+    f.__name__: f for f in (op1_ann, op2_jaccard_join, op3_url_filter, op4_pii, op5_decontamination, op6_ctw_scores, op7_license_scan, op8_language_id, op9_toxicity_chain, op10_pareto_mix)
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": SQL_OP3, "op5_decontamination": SQL_OP5}
