@@ -209,26 +209,25 @@ def missing_value_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- validation ----------------------------------------------------------------------------------------
 
 
-def _valid(name: str, key: str, value: Column, field: FieldSpec) -> Query:
-    return lambda spark, sf_dir: table(spark, sf_dir, name).select(key, (~field.invalid_column(value)).alias("valid"))
+def _valid(name: str, key: str, value: str, field: FieldSpec) -> Query:
+    return lambda spark, sf_dir: table(spark, sf_dir, name).select(key, (~field.invalid_column(F.expr(value))).alias("valid"))
 
 
-def _check(name: str, key: str, value: Column, field: FieldSpec, registered: str, sql: str) -> None:
+def _check(name: str, key: str, value: str, field: FieldSpec, registered: str, sql: str) -> None:
     QUERIES[registered] = _valid(name, key, value, field)
     ORACLE_SQL[registered] = f"SELECT {key}, {sql} AS valid FROM {name}"
 
 
-_check("customer", "c_custkey", F.col("c_name"), StringSpec("n", _ANY, regex=r"Customer#[0-9]{6}[0-4]{3}"), "validate_regex", "regexp_full_match(c_name, 'Customer#[0-9]{6}[0-4]{3}')")
-_check("part", "p_partkey", F.col("p_name"), StringSpec("n", _ANY, min_length=9, max_length=10), "validate_length", "length(p_name) BETWEEN 9 AND 10")
-_check("part", "p_partkey", F.col("p_type"), StringSpec("n", _ANY, case="upper"), "validate_case", "upper(p_type) = p_type")
-_check("part", "p_partkey", F.col("p_name"), StringSpec("n", _ANY, case="upper"), "validate_case_upper", "upper(p_name) = p_name")
-_check("part", "p_partkey", F.col("p_size").cast("string"), IntegerSpec("n", _ANY, minimum=10, maximum=30), "validate_integer", "p_size BETWEEN 10 AND 30")
-_check("part", "p_partkey", F.col("p_brand"), IntegerSpec("n", _ANY), "validate_integer_text", "try_cast(p_brand AS BIGINT) IS NOT NULL")
-_check("customer", "c_custkey", F.col("c_mktsegment"), EnumSpec("n", _ANY, SEGMENTS[:3]), "validate_enum", "c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE')")
-_check("documents", "doc_id", F.coalesce(F.col("text"), F.lit("")), StringSpec("n", hashed(ExactComparison(), BitsPerTokenStrategy(1), encoding="ascii")), "validate_encoding", "strlen(coalesce(text, '')) = length(coalesce(text, ''))")
-_DATES = F.concat(F.lit("2017-02-"), F.lpad((F.col("c_custkey") % 40).cast("string"), 2, "0"))
-_check("customer", "c_custkey", _DATES, DateSpec("n", _ANY, "%Y-%m-%d"), "validate_date", "try_strptime('2017-02-' || lpad((c_custkey % 40)::VARCHAR, 2, '0'), '%Y-%m-%d') IS NOT NULL")
-_check("customer", "c_custkey", F.col("c_mktsegment"), EnumSpec("n", hashed(ExactComparison(), BitsPerTokenStrategy(1), MissingValueSpec("MACHINERY")), SEGMENTS[:2]), "validate_sentinel", "c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY')")
+_check("customer", "c_custkey", "c_name", StringSpec("n", _ANY, regex=r"Customer#[0-9]{6}[0-4]{3}"), "validate_regex", "regexp_full_match(c_name, 'Customer#[0-9]{6}[0-4]{3}')")
+_check("part", "p_partkey", "p_name", StringSpec("n", _ANY, min_length=9, max_length=10), "validate_length", "length(p_name) BETWEEN 9 AND 10")
+_check("part", "p_partkey", "p_type", StringSpec("n", _ANY, case="upper"), "validate_case", "upper(p_type) = p_type")
+_check("part", "p_partkey", "p_name", StringSpec("n", _ANY, case="upper"), "validate_case_upper", "upper(p_name) = p_name")
+_check("part", "p_partkey", "string(p_size)", IntegerSpec("n", _ANY, minimum=10, maximum=30), "validate_integer", "p_size BETWEEN 10 AND 30")
+_check("part", "p_partkey", "p_brand", IntegerSpec("n", _ANY), "validate_integer_text", "try_cast(p_brand AS BIGINT) IS NOT NULL")
+_check("customer", "c_custkey", "c_mktsegment", EnumSpec("n", _ANY, SEGMENTS[:3]), "validate_enum", "c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE')")
+_check("documents", "doc_id", "coalesce(text, '')", StringSpec("n", hashed(ExactComparison(), BitsPerTokenStrategy(1), encoding="ascii")), "validate_encoding", "strlen(coalesce(text, '')) = length(coalesce(text, ''))")
+_check("customer", "c_custkey", "concat('2017-02-', lpad(string(c_custkey % 40), 2, '0'))", DateSpec("n", _ANY, "%Y-%m-%d"), "validate_date", "try_strptime('2017-02-' || lpad((c_custkey % 40)::VARCHAR, 2, '0'), '%Y-%m-%d') IS NOT NULL")
+_check("customer", "c_custkey", "c_mktsegment", EnumSpec("n", hashed(ExactComparison(), BitsPerTokenStrategy(1), MissingValueSpec("MACHINERY")), SEGMENTS[:2]), "validate_sentinel", "c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY')")
 
 
 def _strict_schema() -> Schema:

@@ -50,7 +50,7 @@ def read_csv(spark: SparkSession, path: str, schema: Schema, header: bool | str
     reader = spark.read.schema(kind).option("header", bool(header)).option("enforceSchema", True).option("multiLine", multi_line).option("escape", '"')
     reader = reader.option("nullValue", NO_NULL).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     rows = reader.csv(path).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
-    splits = rows.groupBy("_path", "_start").agg(F.count("*").alias("n"), F.min("_at").alias("first"), F.count(CORRUPT).alias("_bad"))
+    splits = rows.groupBy("_path", "_start").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
     before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select(F.col("_path").alias("p"), F.col("_start").alias("s"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     joined = rows.join(splits, (F.col("_path") == F.col("p")) & (F.col("_start") == F.col("s")))
@@ -59,7 +59,7 @@ def read_csv(spark: SparkSession, path: str, schema: Schema, header: bool | str
 
 def checked_rows(rows: DataFrame, schema: Schema) -> DataFrame:
     """The rows without the corrupt column; FormatError for the first row of a wrong length."""
-    bad = rows.where(F.col(CORRUPT).isNotNull()).agg(F.min(F.struct("row_id", CORRUPT)).alias("e")).first().e
+    bad = rows.where(F.col(CORRUPT).isNotNull()).agg(F.min(F.struct("row_id", CORRUPT, "c0")).alias("e")).first().e  # c0: Spark refuses to read the corrupt column alone
     if bad is not None:
         found = len(next(csv.reader(io.StringIO(bad[CORRUPT])), []))
         raise FormatError(f"row {bad.row_id} has {found} columns, but the schema has {len(schema.fields)} fields", bad.row_id)
