@@ -38,7 +38,7 @@ DEPTH = 5
 END = 0x0A
 BLOCK_BYTES = 24 << 20
 #: Bytes of text whose grams are counted at a time; they take some thirty times their size.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 MAX_SHARDS = 512
 #: Blocks whose counts are merged in one task before shards are put together.
 MERGED = 64
