@@ -187,7 +187,7 @@ def _prefilter() -> re.Pattern[bytes]:
     """First words of all keywords and base phrases, over lower-cased bytes: which documents to look into."""
     first = {w.split(" ")[0] for r in rules() for w in r.keywords} | {p.split(" ")[0] for p, _ in BASE}
     stems = sorted(first, key=len)
-    stems = [w for i, w in enumerate(stems) if not any(v in w for v in stems[:i])]
+    stems = [w for i, w in enumerate(stems) if not any(w.startswith(v) for v in stems[:i])]
     return re.compile(b"(?<![a-z0-9\x80-\xff])(?:" + b"|".join(sorted(w.encode() for w in stems)) + b")")
 
 
