@@ -202,8 +202,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(at) - 1
         base_n, first, last, score = np.zeros(n, np.int64), [None] * n, [None] * n, np.zeros(n)
         base_labels, labels, spans = [""] * n, [""] * n, [[] for _ in range(n)]
-        places = np.fromiter((m.start() for m in _prefilter().finditer(low)), np.int64)
-        for i in np.unique(np.searchsorted(at, places, "right") - 1).tolist():
+        apart = b"\n".join(low[at[i] : at[i + 1]] for i in range(n))  # so that no word runs on into the next text
+        places = np.fromiter((m.start() for m in _prefilter().finditer(apart)), np.int64)
+        for i in np.unique(np.searchsorted(at[:-1] + np.arange(n), places, "right") - 1).tolist():
             words = b" ".join(low[at[i] : at[i + 1]].translate(_BLANKS).split()).decode()
             if base := base_places(words):
                 base_n[i], first[i], last[i] = len(base), base[0][0], base[-1][0]
