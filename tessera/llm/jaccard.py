@@ -10,12 +10,14 @@ blocks. At least B - T blocks of linked texts are equal, so by the prefix princi
 their first T + 1 blocks in any fixed order; empty blocks come last in it. A block is keyed by the
 XOR of its elements' hashes, which is the hash of its parity bits. Nothing is lost.
 
-Groups. Texts with equal sets are one set id from the start. Small groups of one key give all their pairs; large
-ones give each member's pair with the first member only. Candidate pairs are dropped by the Hamming distance
-of their narrow sketches, and the rest is verified on whole texts, one pair for each text at a time; pairs
-that links found so far have put in one component need no check. Where a large group still has several
-components after that, its members' sketches are compared in blocks, and only pairs within the distance
-are verified. So copies in any number cost a few pairs each, and no link is lost.
+Groups. Texts with equal sets are one set id from the start. Small groups of one key give all their pairs. In large
+ones each member is paired with a hub only, the member nearest to the majority of their sketches, and that
+in its largest group. Candidate pairs are dropped by the Hamming distance of their narrow sketches, and
+the rest is verified on whole texts, one pair for each text at a time; pairs that links found so far have
+put in one component need no check. Where a large group still has several components after that, its
+members' sketches are compared in blocks: each component gives its nearest pairs to others, within the
+distance, and more of them in each round until all are linked or refuted. So copies in any number cost a few
+pairs each, and no link is lost.
 
 Set ids are 64-bit hashes; two different sets share one with probability n**2 / 2**65.
 
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buffers, saved, small_batches, word_starts, word_table
+from tessera.llm.common import buffers, release, saved, small_batches, word_starts, word_table
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Blocks for each difference that is allowed; more than one leaves room to put empty blocks last.
@@ -44,6 +46,8 @@ ROOM = 1.25
 SMALL_GROUP = 16
 #: Members of a large group that are compared with as many others in one task; pairs verified against one text in one task.
 GROUP_BLOCK, CHECK_BLOCK = 1024, 64
+#: Pairs that a component gives in the first round over large groups; eight times as many in each further one.
+NEAREST = 16
 #: Text bytes for each shard of candidate keys.
 SHARD_BYTES = 12 << 20
 U = np.uint64
@@ -224,7 +228,7 @@ def described(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int) -> DataFrame:
-    """Rows (key, a, b): pairs of set ids of small groups (key null), and members a of large groups with the first member b."""
+    """Rows (key, a, b): pairs of set ids of small groups (key null), and members a of large groups (b null)."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at, _ = buffers(batch.column(0))
@@ -269,7 +273,7 @@ def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int)
         size = np.diff(np.append(start, len(key)))
         nth = np.arange(len(key)) - np.repeat(start, size)
         size_of = np.repeat(size, size)
-        a, b, k = [], [], []
+        a, b = [], []
         for back in range(1, SMALL_GROUP):
             i = np.flatnonzero((nth >= back) & (size_of <= SMALL_GROUP))
             i = i[np.minimum(n[i], n[i - back]) * t.denominator >= np.maximum(n[i], n[i - back]) * t.numerator]
@@ -277,8 +281,8 @@ def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int)
             b.append(sid[i - back])
         pairs = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
         large = np.flatnonzero(size_of > SMALL_GROUP)
-        k = pd.DataFrame({"key": key[large].view(np.int64), "a": sid[large], "b": sid[np.repeat(start, size)[large]]})
-        return pd.concat([pairs.assign(key=None), k])[["key", "a", "b"]].astype({"key": "Int64"})
+        members = pd.DataFrame({"key": key[large].view(np.int64), "a": sid[large]})
+        return pd.concat([pairs.assign(key=None), members.assign(b=None)])[["key", "a", "b"]].astype({"key": "Int64", "b": "Int64"})
 
     small_batches(docs.sparkSession)
     packed = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(emit, "shard int, keys binary, places binary, sids binary, sizes binary")
@@ -286,20 +290,19 @@ def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for edges (a, b), by alternating stars; nothing is collected but a count and a sum."""
-    arcs = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    """node, root (the smallest node reachable) for edges (a, b), by alternating stars until each tree is one; nothing is collected."""
+    arcs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
-        both = arcs.unionByName(arcs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = arcs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        arcs = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        arcs = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # each node keeps its smallest neighbour; what hung on it follows
         least = arcs.groupBy("u").agg(F.min("v").alias("m"))
-        arcs = saved(arcs.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
-        now = arcs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
+        arcs = arcs.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        arcs = saved(arcs)
+        release(edges.sparkSession)
+        if not arcs.select(F.col("v").alias("u")).distinct().join(arcs, "u", "left_semi").head(1) and not arcs.groupBy("u").count().where("count > 1").head(1):
             return arcs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
@@ -339,37 +342,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     sets = saved(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
     volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     met = saved(candidates(docs, text, words, t, max(8, -(-int(volume) // SHARD_BYTES))))
-    pairs = saved(_within(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), sets, t))
-    edges = None
-    comp = docs.sparkSession.createDataFrame([], "node long, root long")
-
-    def settle(pairs: DataFrame, edges: DataFrame | None, comp: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-        """Verifies pairs between components until none is left: first one for each set, in the end all."""
-        turn = 0
-        while True:
-            open_ = pairs
-            if edges is not None:
-                of = lambda c: comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-                open_ = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-            if turn:
-                open_ = open_.join(tried, ["a", "b"], "left_anti")  # noqa: F821
-            now = open_.groupBy("a").agg(F.min("b").alias("b")) if turn < 2 else open_
-            now = saved(now)
-            if not now.head(1):
-                return edges, comp
-            tried = now if not turn else saved(tried.unionByName(now))  # noqa: F821
-            wanted = now.select(F.col("a").alias("sid")).unionByName(now.select(F.col("b").alias("sid"))).distinct()
-            reps = sets.join(wanted, "sid", "left_semi").select("sid", F.col("doc_id").alias("rep"))
-            texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text")).join(reps, "rep").select("sid", "text")
-            found = verified(now, texts, words, t)
-            edges = saved((found if edges is None else edges.unionByName(found)).distinct())
-            comp = components(edges)
-            turn += 1
-
-    edges, comp = settle(pairs, edges, comp)
-    rest = _large_groups(met, sets, comp, t)
-    if rest is not None:
-        edges, comp = settle(rest, edges, comp)
+    close = saved(_within(met.where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), sets, t))
+    state = Links(docs.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text")), sets, words, t)
+    state.settle(saved(_within(_hubs(met, sets), sets, t)), 1)
+    state.settle(close, 2)
+    open_, most = met.where("key is not null").select("key", "a"), NEAREST
+    while (more := _large_groups(open_, sets, state.comp, t, most)) is not None:
+        release(docs.sparkSession)
+        state.settle(more.select("a", "b").distinct(), 2)
+        cut = more.where("cut").select("key").distinct()
+        if not cut.head(1):
+            break
+        open_, most = open_.join(cut, "key", "left_semi"), most * 8
+    comp = state.comp
     named = sets.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", "copies", F.coalesce("root", "sid").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component"))
     named = named.join(smallest, "root").select("sid", "component", "copies")
@@ -378,6 +363,60 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(whole, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(whole, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"), *(["text_hash"] if keyed else []))
 
 
+class Links:
+    """The pairs verified so far, the links found, and the components they make."""
+
+    def __init__(self, texts: DataFrame, sets: DataFrame, words: int, t: Fraction) -> None:
+        self.texts, self.sets, self.words, self.t = texts, sets, words, t
+        spark = texts.sparkSession
+        self.tried, self.edges = (spark.createDataFrame([], "a long, b long") for _ in range(2))
+        self.comp = spark.createDataFrame([], "node long, root long")
+
+    def settle(self, pairs: DataFrame, turns: int) -> None:
+        """Verifies the pairs between components, in two turns one of each set first."""
+        for turn in range(turns):
+            of = lambda c: self.comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+            left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+            left = left.join(self.tried, ["a", "b"], "left_anti")
+            if turn + 1 < turns:
+                ends = left.select(F.explode(F.array(F.struct("a", F.col("b").alias("o")), F.struct(F.col("b").alias("a"), F.col("a").alias("o")))).alias("e"))
+                left = ends.groupBy("e.a").agg(F.min("e.o").alias("o")).select(F.greatest("a", "o").alias("a"), F.least("a", "o").alias("b")).distinct()
+            now = saved(left)
+            if not now.head(1):
+                return
+            self.tried = saved(self.tried.unionByName(now))
+            release(self.texts.sparkSession)
+            wanted = now.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+            reps = self.sets.join(wanted, "sid", "left_semi").select("sid", F.col("doc_id").alias("rep"))
+            texts = self.texts.join(reps, "rep").select("sid", "text")
+            found = verified(now, texts, self.words, self.t)
+            self.edges = saved(self.edges.unionByName(found).distinct())
+            release(self.texts.sparkSession)
+            self.comp = components(self.edges)
+            release(self.texts.sparkSession)
+
+
+def _hubs(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each member of large groups, in its largest one, with the hub of its block; and the blocks' hubs with the first of them."""
+    members = met.where("key is not null").select("key", "a")
+    size = members.groupBy("key").agg(F.count("*").alias("g"))
+    own = members.join(size, "key").groupBy("a").agg(F.max(F.struct("g", "key")).alias("m")).select("a", "m.key", F.pmod(F.xxhash64("a"), F.ceil(F.col("m.g") / GROUP_BLOCK)).alias("part"))
+
+    def hub(p: pd.DataFrame) -> pd.DataFrame:
+        size = int(min(p["sketch"].map(len)))
+        s = np.stack([folded(x, size) for x in p["sketch"]])
+        major = np.packbits((np.unpackbits(s, axis=1).mean(0) > 0.5).astype(np.uint8))
+        best = int(np.bitwise_count(s ^ major).sum(1, dtype=np.int64).argmin())
+        a = p["a"].to_numpy()
+        return pd.DataFrame({"key": p["key"].to_numpy(), "a": a, "b": a[best]})
+
+    paired = saved(own.join(sets.select(F.col("sid").alias("a"), "sketch"), "a").groupBy("key", "part").applyInPandas(hub, "key long, a long, b long"))
+    firsts = paired.groupBy("key").agg(F.min("b").alias("first"))
+    hubs = paired.select("key", "b").distinct().join(firsts, "key").select(F.col("b").alias("x"), F.col("first").alias("y"))
+    both = paired.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(hubs)
+    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct()
+
+
 def _within(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """Pairs whose sizes and sketches allow a link."""
     of = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
@@ -391,32 +430,51 @@ def _within(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb").mapInPandas(keep, "a long, b long")
 
 
-def _large_groups(met: DataFrame, sets: DataFrame, comp: DataFrame, t: Fraction) -> DataFrame | None:
-    """Pairs between components within large groups whose sketches are near enough."""
-    members = met.where("key is not null").select("key", "a").join(comp, F.col("a") == F.col("node"), "left").select("key", "a", F.coalesce("root", "a").alias("root"))
-    several = members.groupBy("key").agg(F.count("*").alias("g"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    left = saved(members.join(several.select("key", "g"), "key"))
-    if not left.head(1):
+def _large_groups(members: DataFrame, sets: DataFrame, comp: DataFrame, t: Fraction, most: int) -> DataFrame | None:
+    """(key, a, b, cut): for each component in a block pair of a group (key, a), its ``most`` nearest pairs to others; cut: it has more.
+
+    A group without such pairs needs no later round: components only grow.
+    """
+    named = members.join(comp, F.col("a") == F.col("node"), "left").select("key", "a", F.coalesce("root", "a").alias("root"))
+    several = named.groupBy("key").agg(F.count("*").alias("g"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    left = saved(named.join(several.select("key", "g"), "key"))
+    n = left.count()
+    if not n:
         return None
     full = left.join(sets.select(F.col("sid").alias("a"), "n", "sketch"), "a").withColumn("nb", F.ceil(F.col("g") / GROUP_BLOCK).cast("int"))
-    full = full.withColumn("i", F.pmod(F.xxhash64("a"), F.col("nb")).cast("int"))
-    first = full.withColumn("j", F.explode(F.expr("sequence(i, nb - 1)"))).select("key", F.col("i"), "j", F.lit(0).alias("side"), "a", "root", "n", "sketch")
-    second = full.withColumn("j", F.col("i")).withColumn("i", F.explode(F.expr("sequence(0, j)"))).select("key", "i", "j", F.lit(1).alias("side"), "a", "root", "n", "sketch")
+    full = full.withColumn("own", F.pmod(F.xxhash64("a"), F.col("nb")).cast("int"))
+    # a block meets itself and every later one: side 0 has the earlier block, side 1 the later
+    places = F.concat(F.transform(F.expr("sequence(own, nb - 1)"), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side"))), F.filter(F.transform(F.expr("sequence(0, own)"), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))), lambda p: p["i"] < p["j"]))
+    dealt = full.select("key", F.explode(places).alias("p"), "a", "root", "n", "sketch").select("key", "p.i", "p.j", "p.side", "a", "root", "n", "sketch")
+    # many small groups share a task's call
+    dealt = dealt.withColumn("call", F.pmod(F.xxhash64("key", "i", "j"), F.lit(1 + n // 4096)))
+
+    def nearest(key: int, x: np.ndarray, y: np.ndarray, a: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int, int, bool]]:
+        size = min(map(len, (sketches[k] for k in (*x, *y))))
+        sx, sy = (np.stack([folded(sketches[k], size) for k in q]) for q in (x, y))
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for i, k in enumerate(x):
+            apart = np.bitwise_count(sx[i] ^ sy).sum(1, dtype=np.int64)
+            fits = (root[y] != root[k]) & (np.minimum(n[k], n[y]) * t.denominator >= np.maximum(n[k], n[y]) * t.numerator)
+            at = np.flatnonzero(fits & (apart * (t.denominator + t.numerator) <= (t.denominator - t.numerator) * (n[k] + n[y])))
+            if len(at) > most + 1:  # one more than wanted shows that there are more
+                at = at[np.argpartition(apart[at], most)[: most + 1]]
+            if len(at):
+                found.setdefault(int(root[k]), []).extend((int(apart[j]), int(a[k]), int(a[y[j]])) for j in at)
+        return [(key, p, q, len(of) > most) for of in found.values() for _, p, q in sorted(of)[:most]]
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
-        x, y = p[p["side"] == 0], p[p["side"] == 1]
-        size = int(min(p["sketch"].map(len)))
-        sx, sy = (np.stack([folded(s, size) for s in q["sketch"]]) if len(q) else np.zeros((0, size), np.uint8) for q in (x, y))
-        nx, ny, rx, ry, ax, ay = (q[c].to_numpy() for c in ("n", "root", "a") for q in (x, y))
-        a, b = [], []
-        for i in range(len(x)):
-            total = nx[i] + ny
-            ok = (rx[i] != ry) & (np.minimum(nx[i], ny) * t.denominator >= np.maximum(nx[i], ny) * t.numerator)
-            j = np.flatnonzero(ok)
-            j = j[np.bitwise_count(sx[i] ^ sy[j]).sum(1) * (t.denominator + t.numerator) <= (t.denominator - t.numerator) * total[j]]
-            a += [ax[i]] * len(j)
-            b += ay[j].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    found = first.unionByName(second).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
-    return saved(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        key, i, j, side, a, root, n = (p[c].to_numpy() for c in ("key", "i", "j", "side", "a", "root", "n"))
+        sketches = p["sketch"].tolist()
+        order = np.lexsort((side, j, i, key))
+        new = np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in (key, i, j)], axis=0)])
+        out: list[tuple[int, int, int, bool]] = []
+        for at in np.split(order, np.flatnonzero(new)[1:]):
+            x = at[side[at] == 0]
+            y = x if i[at[0]] == j[at[0]] else at[side[at] == 1]
+            if len(x) and len(y):
+                out += nearest(int(key[at[0]]), x, y, a, root, n, sketches)
+        return pd.DataFrame(out, columns=["key", "a", "b", "cut"]).astype({"key": np.int64, "a": np.int64, "b": np.int64, "cut": bool})
+
+    found = dealt.groupBy("call").applyInPandas(compare, "key long, a long, b long, cut boolean")
+    return saved(found.select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "cut"))
