@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import string
 import tempfile
@@ -49,6 +50,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Between rounds: lets Spark drop shuffle files and broadcasts of finished rounds, which it does when their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, made from ``name``."""
     taken = {c.lower() for c in df.columns}
