@@ -1,8 +1,10 @@
 """Personal data as format-preserving Feistel pseudonyms, in DataFrame functions only.
 
-One scan finds candidates; each is validated for its kind (card numbers by Luhn, IBANs by mod 97, dates by the
-calendar, addresses by octet, telephone and social security numbers by their fields). A valid value is
-permuted by a keyed Feistel network within its own format, so the result is again valid, keeps its
+Each value is validated for its kind (card numbers by Luhn, IBANs by mod 97, dates by the calendar, addresses by octet,
+telephone and social security numbers by their fields). Patterns match what is valid only, so nothing invalid hides a
+value that overlaps it. What a pattern cannot tell is found first: every stretch of whole groups that is a valid card
+number or IBAN, from every place where one can start; these strings join the pattern of their text. Then one scan takes
+the leftmost value, by kind and of one kind the longest (IBANs: that of its country's length). A valid value is permuted by a keyed Feistel network within its own format, so the result is again valid, keeps its
 separators, and equal values get equal pseudonyms in every document. What is not valid stays as it is.
 
 Numbers of fixed fields are two halves with moduli (A, B); a round adds a keyed hash of one half to the
@@ -27,14 +29,24 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
-DATE = r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9/-])"
-ADDRESS = r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[A-Za-z0-9])"
+#: Years 1800 to 2199 with hyphens are days of the calendar here, as a card number can start like one that is not; the time of day can follow after T.
+_DAY = r"(?:1[89]|2[01])[0-9]{2}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|[12][0-9]))(?<!(?:[02468][1235679]|[13579][01345789]|1800|1900|2100)-02-29)"
+DATE = rf"(?<![A-Za-z0-9./-])(?:{_DAY}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}})(?![A-SU-Za-su-z0-9/-]|[Tt](?![0-9]))"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+ADDRESS = rf"(?<![A-Za-z0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[A-Za-z0-9])"
 CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
-SSN = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
+SSN = r"(?<![A-Za-z0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9-])"
 PHONE = r"(?<![A-Za-z0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![A-Za-z0-9])"
 #: International numbers: the country code stays, seven to twelve digits after it are permuted.
-WORLD = r"(?<![A-Za-z0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![A-Za-z0-9])"
-PATTERN = "|".join((EMAIL, SECRET, DATE, ADDRESS, SSN, PHONE, WORLD, CARD, IBAN))
+_ONE = r"[ .()-]{0,3}[0-9]"
+WORLD = rf"(?<![A-Za-z0-9+])\+[2-9][0-9]{{0,2}}(?:[ .-]?\(?[0-9]{{1,4}}\)?){{2,5}}(?<=\+(?:[0-9]{{3}}|[0-9]{{1,2}}(?![0-9])){_ONE * 7}{f'(?:{_ONE})?' * 5}\)?)(?![A-Za-z0-9])"
+#: What needs no look at the digits but the pattern's; card numbers and IBANs are added for each text.
+PATTERN = "|".join((EMAIL, SECRET, DATE, ADDRESS, SSN, PHONE, WORLD))
+#: Length of each country's IBAN.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 CLASSES = (("0", "9"), ("a", "f"), ("g", "z"), ("A", "F"), ("G", "Z"))
 
 
@@ -261,18 +273,47 @@ def _named(kind: str):  # noqa: ANN202
     return lambda p: F.when(p.isNotNull(), F.struct(F.lit(kind).alias("kind"), p.alias("text")))
 
 
+def _stretches(c: Column, pattern: str, least: int, valid) -> Column:  # noqa: ANN001
+    """Distinct stretches of whole groups of at least ``least`` characters, from every start of ``pattern``, that are valid."""
+    longest = F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=({pattern}))"), 1))
+    # a stretch ends where a group does
+    ends = lambda s: F.filter(F.sequence(F.lit(least), F.length(s)), lambda n: ~s.substr(n, F.lit(1)).isin(" ", "-") & s.substr(n + 1, F.lit(1)).isin(" ", "-", ""))
+    return F.array_distinct(F.filter(F.flatten(F.transform(longest, lambda s: F.transform(ends(s), lambda n: s.substr(F.lit(1), n)))), valid))
+
+
+def _valid_card(s: Column) -> Column:
+    return _bind(_digits(s), lambda d: F.when(F.length(d) >= 13, luhn_sum(d) % 10 == 0).otherwise(False))
+
+
+def _valid_iban(s: Column) -> Column:
+    return _bind(F.regexp_replace(s, " ", ""), lambda c: F.when(F.length(c) >= 15, _mod97(F.concat(c.substr(F.lit(5), F.length(c)), c.substr(1, 4))) == 1).otherwise(False))
+
+
+def _numbers(c: Column) -> Column:
+    """The valid card numbers and IBANs of a text in the order in which one place tries them."""
+    cards = F.when(c.rlike(CARD), _stretches(c, CARD, 13, _valid_card)).otherwise(F.array().cast("array<string>"))
+    ibans = F.when(c.rlike(IBAN), _stretches(c, IBAN, 15, _valid_iban)).otherwise(F.array().cast("array<string>"))
+    right = F.create_map(*[F.lit(x) for n, countries in IBAN_LENGTHS.items() for country in countries.split() for x in (country, n)])
+    fits = lambda s: F.coalesce(F.element_at(right, s.substr(1, 2)) == F.length(F.regexp_replace(s, " ", "")), F.lit(False))
+    ranked = F.transform(F.concat(cards, ibans), lambda s: F.struct((~fits(s)).cast("int").alias("other"), (-F.length(s)).alias("n"), s.alias("s")))
+    return F.transform(F.array_sort(ranked), lambda r: r["s"])
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replaces ``text`` and adds n_pii (values replaced) and kinds (sorted, distinct, comma-joined)."""
     kept = [c for c in docs.columns if c not in ("n_pii", "kinds")]
-    found, new = fresh(docs, "_found"), fresh(docs, "_new")
+    numbers, pattern, found, new = (fresh(docs, n) for n in ("_numbers", "_pattern", "_found", "_new"))
     c = F.col(f"`{text}`")
-    some = c.rlike("[0-9@=:]") & c.rlike(PATTERN)
-    out = docs.select(*[F.col(f"`{k}`") for k in kept], F.when(some, F.regexp_extract_all(c, F.lit(PATTERN), 0)).alias(found))
+    out = docs.select(*[F.col(f"`{k}`") for k in kept], F.when(c.rlike("[0-9]"), _numbers(c)).alias(numbers))
+    # the numbers consist of letters, digits, blanks and hyphens, which stand for themselves in a pattern
+    own = F.concat(F.lit(PATTERN + "|(?<![A-Za-z0-9])(?:"), F.array_join(numbers, "|"), F.lit(")(?![A-Za-z0-9])"))
+    out = out.withColumn(pattern, F.when(F.size(numbers) > 0, own).when(c.rlike("[0-9@=:]") & c.rlike(PATTERN), F.lit(PATTERN)))
+    out = out.withColumn(found, F.when(F.col(pattern).isNotNull(), F.regexp_extract_all(c, F.col(pattern), F.lit(0))))
     made = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(key, m).alias("made")))
     out = out.withColumn(new, made)
-    joined = F.array_join(F.flatten(F.zip_with(F.split(c, PATTERN, -1), new, lambda piece, m: F.array(piece, F.coalesce(m["made"]["text"], m["old"], F.lit(""))))), "")
+    joined = F.array_join(F.flatten(F.zip_with(F.split(c, F.col(pattern), -1), new, lambda piece, m: F.array(piece, F.coalesce(m["made"]["text"], m["old"], F.lit(""))))), "")
     valid = F.filter(F.transform(new, lambda m: m["made"]["kind"]), lambda k: k.isNotNull())
-    # found and new are each used more than once, so the optimizer computes them once in projections of their own
+    # numbers, pattern, found and new are each used more than once, so the optimizer computes them once in projections of their own
     return out.select(
         *[F.when(F.size(found) > 0, joined).otherwise(c).alias(text) if k == text else F.col(f"`{k}`") for k in kept],
         F.coalesce(F.when(F.col(new).isNotNull(), F.size(valid)), F.lit(0)).cast("long").alias("n_pii"),

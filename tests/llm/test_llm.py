@@ -222,6 +222,24 @@ def test_pseudonyms(spark):
     assert again != out[1].text
 
 
+def test_pseudonyms_beside_other_values(spark):
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    rows = [
+        (f"card {card} 12/27", [card], "card"), (f"{card} 123", [card], "card"), ("order 12 4111111111111111", ["4111111111111111"], "card"), (f"order 123 {card} 456 12/27", [card], "card"),
+        (f"2024 {card}", [card], "card"), (f"1 22 333 4444 55555 {card} 1 22 333", [card], "card"), ("7 4111-1111-1111-1111 323-555-1055", ["4111-1111-1111-1111", "323-555-1055"], "card,phone"),
+        (f"{card} 2024-01-02 9", [card, "2024-01-02"], "card,date"), (f"+44 20 7946 0958 {card}", ["7946 0958", card], "card,world"), (f"AB12 {card}", [card], "card"), (f"000-12-3456 {card}", [card], "card"),
+        (f"{iban} BIC: COBADEFF", [iban], "iban"), (f"NR12 {iban} BIC 7", [iban], "iban"), (f"{iban} {card} 12", [iban, card], "card,iban"), ("DE89370400440532013000 COBADEFF X", ["DE89370400440532013000"], "iban"),
+        ("at 2024-01-02T10:00:00Z", ["2024-01-02"], "date"), ("at 2024-01-02Tea 2023-02-29 2023-04-31", [], ""), ("card 4111 1111 1111 1112 123", [], ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], KIND)
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    for i, (t, values, kinds) in enumerate(rows):
+        assert not any(v in out[i].text for v in values) and (out[i].kinds, len(out[i].text)) == (kinds, len(t)) and (values or out[i].text == t), (t, out[i])
+    # what stands beside a value stays, and the value has the pseudonym that it has alone
+    alone = pii.pseudonymise(spark.createDataFrame([(0, card), (1, iban)], KIND), "k").orderBy("doc_id").collect()
+    assert out[0].text == f"card {alone[0].text} 12/27" and out[1].text == f"{alone[0].text} 123" and out[11].text == f"{alone[1].text} BIC: COBADEFF" and luhn(re.sub(r"\D", "", alone[0].text))
+
+
 def test_permutations_are_undone(spark):
     digits = spark.createDataFrame([(f"{i:03d}",) for i in range(1000)], "v string").select("v", pii.permute_digits("k", "t", F.col("v")).alias("p")).select("v", "p", pii.permute_digits("k", "t", F.col("p"), back=True).alias("b"))
     rows = digits.collect()
