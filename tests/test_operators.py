@@ -84,6 +84,16 @@ def test_dice_join(spark, threshold):
         match.dice_join(left, right, 0)
 
 
+def test_dice_join_over_several_partitions(spark):
+    rows, df = vectors(spark, 3, 90, [random.Random(9).getrandbits(128)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = match.dice_join(df, df, 0.5, blocks=4).where("left_id = right_id").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == sum(any(x) for _, x in rows)
+
+
 def test_quality(spark):
     pairs = lambda *p: spark.createDataFrame(list(p), "left_id long, right_id long")
     r = match.precision_recall(pairs((1, 1), (2, 2), (3, 4)), pairs((1, 1), (2, 2), (3, 3), (4, 4))).first()
