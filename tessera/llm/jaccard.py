@@ -339,11 +339,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     """
     t = threshold
     rows = saved(described(docs, doc_id, text, words))
-    sets = saved(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
+    sets = saved(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
+    # sets whose text would be found in several rows, as id and text are repeated
+    again = saved(rows.where("n > 0").groupBy("sid", F.struct("doc_id", "text_hash").alias("at")).count().where("count > 1").join(sets.select("sid", "at"), ["sid", "at"], "left_semi").select("sid"))
     volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     met = saved(candidates(docs, text, words, t, max(8, -(-int(volume) // SHARD_BYTES))))
     close = saved(_within(met.where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), sets, t))
-    state = Links(docs.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text")), sets, words, t)
+    state = Links(docs.select(F.col(doc_id).alias("rep"), F.xxhash64(text).alias("rep_hash"), F.col(text).cast("string").alias("text")), sets, again, words, t)
     state.settle(saved(_within(_hubs(met, sets), sets, t)), 1)
     state.settle(close, 2)
     open_, most = met.where("key is not null").select("key", "a"), NEAREST
@@ -366,12 +368,17 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
 class Links:
     """The pairs verified so far, the links found, and the components they make."""
 
-    def __init__(self, texts: DataFrame, sets: DataFrame, words: int, t: Fraction) -> None:
+    def __init__(self, texts: DataFrame, sets: DataFrame, again: DataFrame, words: int, t: Fraction) -> None:
         self.texts, self.sets, self.words, self.t = texts, sets, words, t
+        self.again = again if again.head(1) else None
         spark = texts.sparkSession
         self.tried, self.edges = (spark.createDataFrame([], "a long, b long") for _ in range(2))
         self.comp = spark.createDataFrame([], "node long, root long")
 
+    def _found(self, reps: DataFrame) -> DataFrame:
+        """(sid, text) of the rows that stand for the sets; ids can be null, or have several texts."""
+        return self.texts.join(reps, F.col("rep").eqNullSafe(F.col("at_id")) & (F.col("rep_hash") == F.col("at_hash"))).select("sid", "text")
+
     def settle(self, pairs: DataFrame, turns: int) -> None:
         """Verifies the pairs between components, in two turns one of each set first."""
         for turn in range(turns):
@@ -387,8 +394,10 @@ class Links:
             self.tried = saved(self.tried.unionByName(now))
             release(self.texts.sparkSession)
             wanted = now.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-            reps = self.sets.join(wanted, "sid", "left_semi").select("sid", F.col("doc_id").alias("rep"))
-            texts = self.texts.join(reps, "rep").select("sid", "text")
+            reps = self.sets.join(wanted, "sid", "left_semi").select("sid", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"))
+            texts = self._found(reps)
+            if self.again is not None:
+                texts = self._found(reps.join(self.again, "sid", "left_anti")).unionByName(self._found(reps.join(self.again, "sid", "left_semi")).groupBy("sid").agg(F.first("text").alias("text")))
             found = verified(now, texts, self.words, self.t)
             self.edges = saved(self.edges.unionByName(found).distinct())
             release(self.texts.sparkSession)

@@ -140,6 +140,18 @@ def test_jaccard_odd(odd, none):
     assert jaccard.jaccard_components(none).collect() == []
 
 
+def test_jaccard_ids_null_or_repeated(spark):
+    rng = random.Random(5)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, " ".join(a)), (None, " ".join(a)), (3, near(a)), (1, " ".join(b)), (1, " ".join(c)), (1, " ".join(c)), (5, near(b)), (7, near(c)), (9, " ".join(d)), (None, " ".join(e)), (None, near(e))]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, KIND).repartition(3), keyed=True)
+    of = {r.text_hash: (r.component_id, r.n_copies) for r in out.collect()}
+    key = {t: k for t, k in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect()}
+    assert [of[key[t]] for _, t in rows] == [(3, 2), (3, 2), (3, 1), (1, 1), (1, 2), (1, 2), (1, 1), (1, 1), (9, 1), (None, 1), (None, 1)]
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(50):
