@@ -42,10 +42,10 @@ class Detection(NamedTuple):
     order: int
 
 
-#: Families: label stem, keyword, how the name is written, the versions there are, priority.
+#: Families: label stem, keywords (joined by |; one of them stands in every form of the name, and each alternative starts a word), how the name is written, the versions there are, priority.
 FAMILIES = (
     ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", ("1", "2", "3"), 50),
-    ("lgpl", "lesser general", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", ("2", "2.1", "3"), 60),
+    ("lgpl", "lesser general|library general", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", ("2", "2.1", "3"), 60),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e", ("1", "3"), 60),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e", ("1.1", "1.2", "1.3"), 50),
     ("apache", "apache", r"apache (?:software )?licen[sc]e", ("1", "1.1", "2", "2.0"), 50),
@@ -76,7 +76,7 @@ FAMILIES = (
 #: Creative Commons: the short code, and the long name after "attribution".
 CC_PARTS = (("by", ""), ("by-sa", "share ?alike"), ("by-nc", "non ?commercial"), ("by-nd", "no ?deriv(?:ative)?s?(?: works)?"), ("by-nc-sa", "non ?commercial share ?alike"), ("by-nc-nd", "non ?commercial no ?deriv(?:ative)?s?(?: works)?"))
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-#: Sentences and short names that stand for a license: label, priority, keyword, regex.
+#: Sentences and short names that stand for a license: label, priority, keywords (joined by |), regex.
 PLAIN = (
     ("mit", 40, "mit", r"(?:the )?mit licen[sc]e"),
     ("mit", 45, "mit", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?mit(?: licen[sc]e)?"),
@@ -85,10 +85,10 @@ PLAIN = (
     ("isc", 40, "isc", r"isc licen[sc]e"),
     ("bsd", 30, "redistribution and use", r"redistribution and use in source and binary forms"),
     ("bsd", 40, "bsd", r"bsd(?: style)? licen[sc]e"),
-    ("bsd-2-clause", 55, "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?"),
+    ("bsd-2-clause", 55, "bsd|freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?"),
     ("bsd-3-clause", 55, "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd)(?: licen[sc]e)?"),
     ("bsd-3-clause", 35, "neither the name", r"neither the name of [^ ]+(?: [^ ]+){0,8} nor the names of its contributors"),
-    ("0bsd", 55, "bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)(?: licen[sc]e)?"),
+    ("0bsd", 55, "bsd|0bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)(?: licen[sc]e)?"),
     ("zlib", 40, "zlib", r"zlib (?:libpng )?licen[sc]e"),
     ("unlicense", 40, "unlicense", r"(?:the )?unlicense"),
     ("unlicense", 35, "free and unencumbered", r"this is free and unencumbered software released into the public domain"),
@@ -118,14 +118,15 @@ def _version(v: str) -> str:
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """All rules in order. Families and versions are spelled out here; each version has a long, a short and an SPDX form."""
-    out = [Rule(label, priority, (word,), pattern) for label, priority, word, pattern in PLAIN]
+    out = [Rule(label, priority, tuple(word.split("|")), pattern) for label, priority, word, pattern in PLAIN]
     for stem, word, name, versions, priority in FAMILIES:
-        out.append(Rule(stem, priority, (word,), name))
+        words = tuple(word.split("|"))
+        out.append(Rule(stem, priority, words, name))
         for v in versions:
             tail = rf"(?:,? ?(?:version|v) ?)?{_version(v)}"
-            out.append(Rule(f"{stem}-{v}", priority + 10, (word,), rf"{name} (?:version |v ?)?{_version(v)}(?: 0)?"))
+            out.append(Rule(f"{stem}-{v}", priority + 10, words, rf"{name} (?:version |v ?)?{_version(v)}(?: 0)?"))
             out.append(Rule(f"{stem}-{v}", priority + 10, (stem,), rf"{stem} ?{tail}(?: only| or later)?"))
-            out.append(Rule(f"{stem}-{v}-or-later", priority + 20, (word,), rf"{name}(?: as published by [^ ]+(?: [^ ]+){{0,5}})? (?:version |v ?)?{_version(v)} or (?:any |\(?at your option\)? ?any )?later(?: version)?"))
+            out.append(Rule(f"{stem}-{v}-or-later", priority + 20, words, rf"{name}(?: as published by [^ ]+(?: [^ ]+){{0,5}})? (?:version |v ?)?{_version(v)} or (?:any |\(?at your option\)? ?any )?later(?: version)?"))
     for code, long in CC_PARTS:
         short = code.replace("-", " ")
         out.append(Rule(f"cc-{code}", 42 + 2 * len(code), ("cc by",), rf"cc {short}"))

@@ -435,6 +435,46 @@ def test_license_suppression():
         assert not any(b is not a and b.start <= a.start and a.end <= b.end for b in kept)
 
 
+def samples(parsed):
+    """Strings of a parsed pattern: every alternative, with and without what is optional."""
+    out = [""]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(value)]
+        elif name == "IN":
+            o, v = value[0]
+            some = ["x"] if str(o) == "NEGATE" else [chr(v if str(o) == "LITERAL" else v[0])]
+        elif name == "NOT_LITERAL":
+            some = ["x"]
+        elif name == "BRANCH":
+            some = [x for branch in value[1] for x in samples(branch)]
+        elif name == "SUBPATTERN":
+            some = samples(value[3])
+        else:
+            assert name == "MAX_REPEAT", name
+            least, _, body = value
+            some = [x * max(least, 1) for x in samples(body)] + ([""] if least == 0 else [])
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_license_samples_pass_both_gates():
+    gate, compiled = license._engine()
+    for i, r in enumerate(license.rules()):
+        for s in samples(re._parser.parse(r.pattern)):
+            words = " ".join(plain_words(s))
+            if not compiled[i].fullmatch(words):
+                continue  # commas and brackets are no words
+            assert license._prefilter().search(words.encode()) and any(i in of for _, of in gate.iter(words)), (r, words)
+
+
+def test_license_names_of_every_gate(spark):
+    texts = ["GNU Library General Public License, version 2", "0BSD", "FreeBSD"]
+    out = {r.doc_id: r.labels.split(",") for r in license.license_scan(spark.createDataFrame(list(enumerate(texts)), KIND)).collect()}
+    assert "lgpl-2" in out[0] and out[1] == ["0bsd"] and out[2] == ["bsd-2-clause"]
+
+
 # ---- 8 -------------------------------------------------------------------------------------------------
 
 
