@@ -20,6 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a letter (``und``) go; the languages are learned from the rows that are not held out."""
     held = held_bucket(F.col("doc_id")) == 0
     prototypes = langid.learn(docs.where(~held))
+    if not prototypes:  # nothing to learn from makes every text und
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return langid.identify(docs, prototypes, prefix="found_").where("found_lang_pred <> 'und'").select(docs.columns)
 
 

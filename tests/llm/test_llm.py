@@ -580,6 +580,14 @@ def test_mixing_prefers_heavy_documents(spark):
 # ---- the whole -----------------------------------------------------------------------------------------
 
 
+def test_language_stage_without_languages(spark, odd, sf_dir):
+    import corpus_pipeline
+
+    docs = odd.withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.identify_language(spark, docs, sf_dir)
+    assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["4", "4", "5", "6", "None"]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
