@@ -104,7 +104,7 @@ def hex_mod(digits: Column, n_digits: int, l: int) -> Column:
     return acc
 
 
-#: Further md5 tries that the Column form has for b = 0; with l of 1024 the last is needed once in 2**60 tokens.
+#: Further md5 tries that the Column form has for b = 0; with l of 1024 the last is needed once in 2**60 tokens. Where all give 0, an error is raised.
 RETRIES = 5
 
 
@@ -115,7 +115,7 @@ def double_hash_column(token: Column, k: Column, keys: tuple[bytes, ...], l: int
     b = hex_mod(hmac_column(message, keys[1], "md5"), 32, l)
     if non_singular:
         again = [F.nullif(hex_mod(hmac_column(F.concat(message, F.lit(bytes([i]))), keys[1], "md5"), 32, l), F.lit(0)) for i in range(RETRIES)]
-        b = F.coalesce(F.nullif(b, F.lit(0)), *again, F.lit(0))
+        b = F.coalesce(F.nullif(b, F.lit(0)), *again, F.raise_error(F.lit("a token's second hash is 0 after all retries; use the arrow engine")).cast("long"))
     # the pair is computed once and then used by every position
     pair = F.array(F.struct(a.alias("a"), b.alias("b")))
     positions = F.transform(pair, lambda h: F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), lambda i: (h["a"] + i * h["b"]) % l))

@@ -179,3 +179,13 @@ def test_bit_columns(spark, length, folds):
     for r in out.collect():
         want = Bits.of(bits.fold_mask(hashing._mask(r.p, length), length, folds), small)
         assert bytes(r.b) == want.data == bytes(r.x) and r.n == want.count() and r.t == bits.serialize_bitarray(want)
+
+
+def test_native_hash_is_never_singular(spark):
+    """With one place every hash is 0, so all retries fail."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions import hashing
+
+    with pytest.raises(Exception, match="after all retries"):
+        spark.createDataFrame([("t",)], "t string").select(hashing.double_hash_column(F.col("t"), F.lit(2), (b"a", b"b"), 1, True)).collect()
