@@ -9,7 +9,8 @@ Learning sends one vector for each language and input partition, whatever the nu
 
 Defined results. Null texts and texts without a letter are ``und`` with score 0. Ties go to the smaller
 language. Without any learning text every document with a letter is ``und``. Repeated rows each get their
-result. Long texts are counted in pieces, so memory does not grow with them beyond their own bytes.
+result. Texts are counted together up to ``PIECE`` characters, and longer ones in pieces of that size that overlap by
+two letters, so memory grows with neither the texts nor their number beyond their own bytes.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches
 
 DIMENSIONS = 1024
-#: Documents whose n-gram counts stand in memory together.
-ROWS = 200
+#: Documents, and characters of them, whose n-gram counts stand in memory together.
+ROWS, PIECE = 200, 1 << 20
 
 
 @lru_cache(1)
@@ -54,23 +55,40 @@ def gram_vectors(grams: np.ndarray, dims: int) -> np.ndarray:
     return np.roll(base, 2, 1)[inverse[:, 0]] * np.roll(base, 1, 1)[inverse[:, 1]] * base[inverse[:, 2]]
 
 
-def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram counts of a few texts: (texts x trigrams) float32, the trigrams as rows of letters, and which texts have a letter."""
-    points = [_folded()[np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)] for t in texts]
-    has = np.array([bool(p.any()) for p in points], bool)
-    # two blanks part the texts; runs of blanks become one
-    chain, owner = np.zeros(0, np.int32), np.zeros(0, np.int32)
-    if has.any():
-        parts, owners = [], []
-        for i, p in enumerate(points):
-            if has[i]:
-                p = np.concatenate([[0], p, [0]])
-                p = p[np.concatenate([[True], (p[1:] != 0) | (p[:-1] != 0)])]
-                parts.append(p)
-                owners.append(np.full(len(p), i, np.int32))
-        chain, owner = np.concatenate(parts), np.concatenate(owners)
+def chains(text: str | None) -> Iterator[np.ndarray]:
+    """The folded letters of a text between blanks, runs of blanks as one, in pieces; each goes on from the last two of the one before."""
+    text, last = text or "", np.zeros(1, np.int32)
+    for i in range(0, len(text), PIECE):
+        p = _folded()[np.frombuffer(text[i : i + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        p = np.concatenate([last, p, [0]] if i + PIECE >= len(text) else [last, p])
+        p = p[np.concatenate([[True], (p[1:] != 0) | (p[:-1] != 0)])]
+        if p.any():
+            yield p
+        last = p[-2:]
+
+
+def groups(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chains of several texts, one after the other, and the text of each symbol: at most ``ROWS`` chains, one of a text, and about ``PIECE`` symbols at a time."""
+    parts: list[np.ndarray] = []
+    owners: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        for p in chains(t):
+            if parts and (len(parts) == ROWS or size + len(p) > PIECE or owners[-1] == i):
+                yield np.concatenate(parts), np.repeat(owners, [len(x) for x in parts])
+                parts, owners, size = [], [], 0
+            parts.append(p)
+            owners.append(i)
+            size += len(p)
+    if parts:
+        yield np.concatenate(parts), np.repeat(owners, [len(x) for x in parts])
+
+
+def counts(chain: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trigram counts of the texts in a group: (texts x trigrams) float32, the trigrams as rows of letters, and which texts they are."""
+    rows, owner = np.unique(owner, return_inverse=True)
     if len(chain) < 3:
-        return np.zeros((len(texts), 0), np.float32), np.zeros((0, 3), np.int64), has
+        return np.zeros((len(rows), 0), np.float32), np.zeros((0, 3), np.int64), rows
     letters = np.flatnonzero(np.bincount(chain, minlength=1))
     small = np.searchsorted(letters, chain).astype(np.int64)
     k = len(letters)
@@ -87,17 +105,18 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     else:
         grams, column = np.unique(code, return_inverse=True)
     m = len(grams)
-    table = np.bincount(owner.astype(np.int64) * m + column, minlength=len(texts) * m).reshape(len(texts), m).astype(np.float32)
-    return table, letters[np.stack([grams // (k * k), grams // k % k, grams % k], 1)], has
+    table = np.bincount(owner.astype(np.int64) * m + column, minlength=len(rows) * m).reshape(len(rows), m).astype(np.float32)
+    return table, letters[np.stack([grams // (k * k), grams // k % k, grams % k], 1)], rows
 
 
 def _bundles(texts: list[str | None], dims: int) -> tuple[np.ndarray, np.ndarray]:
-    table, grams, has = counts(texts)
-    if not len(grams):
-        return np.zeros((len(texts), dims), np.float32), has
-    out = np.zeros((len(texts), dims), np.float32)
-    for i in range(0, len(grams), 8192):  # memory stays bounded for many kinds of letters
-        out += table[:, i : i + 8192] @ gram_vectors(grams[i : i + 8192], dims)
+    """A bundle for each text, and which texts have a letter."""
+    out, has = np.zeros((len(texts), dims), np.float32), np.zeros(len(texts), bool)
+    for group in groups(texts):
+        table, grams, rows = counts(*group)
+        has[rows] = True
+        for i in range(0, len(grams), 8192):  # memory stays bounded for many kinds of letters
+            out[rows] += table[:, i : i + 8192] @ gram_vectors(grams[i : i + 8192], dims)
     return out, has
 
 
@@ -109,9 +128,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = D
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, of in batch.groupby("lang", sort=False):
-                texts = of["text"].tolist()
-                for i in range(0, len(texts), ROWS):
-                    table, grams, _ = counts(texts[i : i + ROWS])
+                for group in groups(of["text"].tolist()):
+                    table, grams, _ = counts(*group)
                     sums = total.setdefault(name, np.zeros(dims))
                     for j in range(0, len(grams), 8192):
                         sums += table[:, j : j + 8192].sum(0, dtype=np.float64) @ gram_vectors(grams[j : j + 8192], dims).astype(np.float64)

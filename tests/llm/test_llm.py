@@ -265,6 +265,14 @@ def test_pseudonyms_odd(odd, none):
     assert pii.pseudonymise(none, "k").count() == 0
 
 
+def test_pseudonyms_long_runs(spark):
+    """Long repetitions of what each kind is made of neither overflow nor hang, and the value after them is found."""
+    units = ["b.", "a@", "a@b.", "b-", "1.", "12 ", "1-", "4111 ", "AB12 ", "A1", "password=", "+49 ", "(323) ", "2024-01-02 ", "000-", "%", "DE89"]
+    rows = [(i, "a@" + u * (100_000 // len(u)) + "com") for i, u in enumerate(units)] + [(100 + i, u * (100_000 // len(u)) + " mail x.y@z.org") for i, u in enumerate(units)]
+    out = {r.doc_id: (r.text, r.n_pii) for r in pii.pseudonymise(spark.createDataFrame(rows, KIND).repartition(8), "k").collect()}
+    assert len(out) == len(rows) and all("x.y@z.org" not in out[100 + i][0] and out[100 + i][1] > 0 for i in range(len(units)))
+
+
 def test_native_plans(spark, odd):
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     for df in (pii.pseudonymise(odd, "k"), decontam.decontaminate(odd, items)):
@@ -491,8 +499,10 @@ def test_language_id(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd, langid.learn(docs.where("false"))).collect()} == {"und"}
 
 
-def test_bundles_by_definition():
-    texts = ["Ab c!", "été", None, "a", "12"]
+@pytest.mark.parametrize("piece", [1 << 20, 2, 3, 7])
+def test_bundles_by_definition(piece, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    texts = ["Ab c!", "été", None, "a", "12", "one  two 3 three", "     x     y", "!!!!! z"]
     got, has = langid._bundles(texts, 64)
     for t, g, h in zip(texts, got, has, strict=True):
         s = "".join(c.lower() if c.isalpha() else "\0" for c in t or "")
@@ -597,7 +607,7 @@ def test_pipeline(spark, sf_dir):
     component = brute_components(list(kept.items()))
     kept = {i: t for i, t in kept.items() if component[i][1] == i}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    dirty = {d for d, *_, bad in brute_hits(list(kept.items()), bench) if bad}
+    dirty = {d for d, _, n_hit, *_ in brute_hits(list(kept.items()), bench) if n_hit}
     clean = set(kept) - dirty
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in out} <= clean and len(out) == len({r.doc_id for r in out})
@@ -607,4 +617,5 @@ def test_pipeline(spark, sf_dir):
         assert d.columns == docs.columns, name
         stage = d
     assert {r.doc_id for r in stage.select("doc_id").collect()} == clean
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and zlib.crc32(b"") == 0
+    # no window of a benchmark item is left in any text that comes out
+    assert not any(n_hit for _, _, n_hit, *_ in brute_hits([(r.doc_id, r.text) for r in out], bench))
