@@ -60,11 +60,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated"
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near"
     )
 
 
-#: Joins texts and items by hashed windows; words by the contract.
+#: Joins texts and items by windows, and items' rarest terms by distance; words by the contract.
 SQL_OP5 = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
@@ -81,10 +81,22 @@ WITH d AS (
   SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS pos FROM h) GROUP BY r
 ), t AS (
   SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM h) GROUP BY r
+), tok AS (
+  SELECT r, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM d
+), ik AS (
+  SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY n, term) AS nth, bool_or(n IS NULL) OVER (PARTITION BY item_id) AS missing
+  FROM (SELECT DISTINCT item_id, unnest(w) AS term FROM b) LEFT JOIN (SELECT term, count(*) AS n FROM tok GROUP BY term) USING (term)
+), pl AS (
+  SELECT r, pos, item_id, nth, terms FROM tok JOIN (SELECT *, max(nth) OVER (PARTITION BY item_id) AS terms FROM ik WHERE NOT missing AND nth <= 3) USING (term)
+), nr AS (
+  SELECT r, count(DISTINCT item_id) AS n_near FROM (
+    SELECT x.r, x.item_id FROM pl x JOIN pl y ON x.r = y.r AND x.item_id = y.item_id AND x.nth = 1 AND abs(x.pos - y.pos) <= 26
+    GROUP BY x.r, x.item_id, x.pos, x.terms HAVING count(DISTINCT y.nth) = x.terms
+  ) GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
-FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r) LEFT JOIN nr USING (r)
 """
 
 

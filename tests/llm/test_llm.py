@@ -312,7 +312,7 @@ def test_decontamination(spark, odd, none):
             at = rng.randint(0, len(w))
             w[at:at] = (rng.choice(items)[1] or "").split()
         docs.append((i, ", ".join(w).upper() if i % 3 == 0 else " ".join(w)))
-    docs += [(99, None), (5, docs[5][1])]
+    docs += [(99, None), (5, docs[5][1]), (None, docs[7][1]), (5, docs[9][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = decontam.decontaminate(spark.createDataFrame(docs, KIND), bench)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in out.collect()), key=str) == brute_hits(docs, items)
@@ -323,11 +323,30 @@ def test_decontamination(spark, odd, none):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x x b y c"), (2, "c b a"), (3, "a " + "z " * 20 + "b c")], KIND)
     out = decontam.proximity(docs, spark.createDataFrame([("a b c",)], "phrase string"), 6).collect()
-    key = {r.k1 for r in out}
-    want = {r.h for r in docs.where("doc_id < 3").select(F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()}
+    key = {(r.k1, r.k2) for r in out}
+    want = {(r.k1, r.k2) for r in decontam._named(docs.where("doc_id < 3"), "text").collect()}
     assert key == want and {r.span for r in out} == {6, 3}
 
 
+def test_proximity_of_items(spark):
+    """n_near against a count by hand: an item is near where its three rarest terms lie within the distance of the rarest."""
+    rng = random.Random(16)
+    vocabulary = [f"v{i}" for i in range(25)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80)))) for i in range(60)] + [(70, None), (71, "")]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 4, 8])))) for i in range(10)] + [(20, "v1 nowhere"), (21, None)]
+    counts = Counter(w for _, t in docs for w in plain_words(t))
+    want = {}
+    for d, t in docs:
+        w, near = plain_words(t), 0
+        for _, item in items:
+            own = plain_words(item)
+            terms = sorted(set(own), key=lambda x: (counts[x], x))[:3]
+            near += bool(own) and all(x in counts for x in own) and any(all(any(w[j] == x for j in range(max(0, i - 4), i + 5) if j < len(w)) for x in terms) for i in range(len(w)) if w[i] == terms[0])
+        want[d] = near
+    out = decontam.decontaminate(spark.createDataFrame(docs, KIND), spark.createDataFrame(items, "item_id long, text string"), distance=4)
+    assert {r.doc_id: r.n_near for r in out.collect()} == want
+
+
 # ---- 6 -------------------------------------------------------------------------------------------------
 
 
