@@ -56,6 +56,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a ``saved`` table that nothing reads any more."""
+    rdd = df._jdf.queryExecution().analyzed().rdd()
+    if rdd.getCheckpointFile().isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Between rounds: lets Spark drop shuffle files and broadcasts of finished rounds, which it does when their handles are collected."""
     gc.collect()

@@ -132,11 +132,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = 13, one_in: int =
     by_text = saved(places.groupBy(*NAME).agg(F.collect_list(F.struct("start", "len", "h1", "h2")).alias("places")))
     n_texts = by_text.count()
     texts = _named(docs, text).join(_side(by_text.select(*NAME), n_texts), NAME, "left_semi").dropDuplicates(NAME)
-    # words is used twice in the next projection, so that it is computed once and not for each place
-    texts = texts.join(by_text, NAME).select(*NAME, "places", words_of(F.col("text")).alias("words"))
-    phrase_at = lambda p: F.array_join(F.slice("words", p["start"] + 1, p["len"]), " ")
-    same = lambda p: (_hash(phrase_at(p), 1) == p["h1"]) & (_hash(phrase_at(p), 2) == p["h2"])
-    hits = saved(texts.select(*NAME, F.size("words").alias("n"), F.array_sort(F.filter("places", same)).alias("hits")).where(F.size("hits") > 0))
+    texts = texts.join(by_text, NAME)
+    phrase_at = lambda w, p: F.array_join(F.slice(w, p["start"] + 1, p["len"]), " ")
+    same = lambda w, p: (_hash(phrase_at(w, p), 1) == p["h1"]) & (_hash(phrase_at(w, p), 2) == p["h2"])
+    # bound as a variable, the words are split once for a text and not for each place
+    right = F.element_at(F.transform(F.array(words_of(F.col("text"))), lambda w: F.filter("places", lambda p: same(w, p))), 1)
+    hits = saved(texts.select(*NAME, F.array_sort(right).alias("hits"))).where(F.size("hits") > 0)
     # the hits are in order of their starts, so the words of each beyond the end of those before are counted once
     ends = lambda acc, p: F.struct(F.greatest(acc["end"], p["start"] + p["len"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), p["start"] + p["len"] - F.greatest(acc["end"], p["start"]))).alias("n"))
     covered = F.aggregate("hits", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), ends)["n"].cast("long")

@@ -10,14 +10,16 @@ blocks. At least B - T blocks of linked texts are equal, so by the prefix princi
 their first T + 1 blocks in any fixed order; empty blocks come last in it. A block is keyed by the
 XOR of its elements' hashes, which is the hash of its parity bits. Nothing is lost.
 
-Groups. Texts with equal sets are one set id from the start. Small groups of one key give all their pairs. In large
-ones each member is paired with a hub only, the member nearest to the majority of their sketches, and that
-in its largest group. Candidate pairs are dropped by the Hamming distance of their narrow sketches, and
-the rest is verified on whole texts, one pair for each text at a time; pairs that links found so far have
-put in one component need no check. Where a large group still has several components after that, its
-members' sketches are compared in blocks: each component gives its nearest pairs to others, within the
-distance, and more of them in each round until all are linked or refuted. So copies in any number cost a few
-pairs each, and no link is lost.
+Groups. Texts with equal sets are one set id from the start, and a stretch of input gives each set's keys once. Small groups
+of one key give all their pairs. A key that is common in one stretch is told apart there, and its members go by tasks of
+their own, so no task gets all sets of a common key. In large groups each member is paired with a hub only, the
+member nearest to the majority of their sketches, and that in its largest group. Candidate pairs are dropped by the
+Hamming distance of their narrow sketches, and the rest is verified on whole texts: they are fetched once, for the sets
+that have a candidate, and sent once to each call, which verifies the pairs of a neighbourhood and leaves out those that
+its own links have joined by then. Where a large group still has several components after that, its members'
+sketches are compared in blocks, each pair under one common key or few: each component gives its nearest pairs to others,
+within the distance, and more of them in each round until all are linked or refuted. So copies in any number cost
+a few pairs each, and no link is lost.
 
 Set ids are 64-bit hashes; two different sets share one with probability n**2 / 2**65.
 
@@ -34,22 +36,26 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buffers, release, saved, small_batches, word_starts, word_table
+from tessera.llm.common import buffers, dropped, release, saved, small_batches, word_starts, word_table
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Blocks for each difference that is allowed; more than one leaves room to put empty blocks last.
 ROOM = 1.25
 #: Groups of one key up to this size give all their pairs.
 SMALL_GROUP = 16
-#: Members of a large group that are compared with as many others in one task; pairs verified against one text in one task.
-GROUP_BLOCK, CHECK_BLOCK = 1024, 64
+#: Members of a large group that are compared with as many others in one task; shingles of the pairs verified in one call.
+GROUP_BLOCK, CALL_SHINGLES = 1024, 1 << 20
+#: Smaller keys of a member that tell whether a pair is compared under one of them.
+EARLIER = 3
 #: Pairs that a component gives in the first round over large groups; eight times as many in each further one.
 NEAREST = 16
-#: Text bytes for each shard of candidate keys.
-SHARD_BYTES = 12 << 20
+#: Text bytes for each shard of candidate keys, and of a stretch of input in which each set's keys are made once.
+SHARD_BYTES, STRETCH_BYTES = 12 << 20, 8 << 20
+#: Texts are found by a broadcast of their ids only where these are counted to be at most so many.
+BROADCAST_ROWS = 500_000
 U = np.uint64
 
 
@@ -227,29 +233,59 @@ def described(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"), F.xxhash64(text).alias("text_hash")).mapInArrow(describe, f"doc_id {kind}, text_hash long, n long, sid long, sketch binary")
 
 
+def stretches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of about ``STRETCH_BYTES`` of text at a time, each once: hashes and offsets."""
+    kept: dict[int, np.ndarray] = {}
+    size = 0
+    for batch in batches:
+        data, at, _ = buffers(batch.column(0))
+        cut = [0, *np.flatnonzero(np.diff(at // STRETCH_BYTES)) + 1, len(at) - 1]
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            h, s = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], words)
+            ids = set_ids(h, s)
+            kept.update((int(ids[k]), h[s[k] : s[k + 1]]) for k in range(j - i))
+            size += int(at[j] - at[i])
+            if size >= STRETCH_BYTES:
+                yield np.concatenate(list(kept.values())), np.concatenate([[0], np.cumsum([len(x) for x in kept.values()])]).astype(np.int64)
+                kept, size = {}, 0
+    if kept:
+        yield np.concatenate(list(kept.values())), np.concatenate([[0], np.cumsum([len(x) for x in kept.values()])]).astype(np.int64)
+
+
 def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int) -> DataFrame:
-    """Rows (key, a, b): pairs of set ids of small groups (key null), and members a of large groups (b null)."""
+    """Rows (key, a, b): pairs of set ids of small groups (key null), and members a of large groups (b null; they can be repeated)."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at, _ = buffers(batch.column(0))
-            h, s = shingle_sets(data, at, words)
-            ids, first = np.unique(set_ids(h, s), return_index=True)
-            sizes = np.diff(s)
-            some = np.concatenate([h[s[i] : s[i + 1]] for i in first]) if len(first) else h
-            key, owner = block_keys(some, np.concatenate([[0], np.cumsum(sizes[first])]).astype(np.int64), t)
-            shard = (key % U(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows: list[tuple[int, bytes, bytes, bytes, bytes]] = []
+        for h, s in stretches(batches, words):
+            ids, sizes = set_ids(h, s), np.diff(s)
+            key, owner = block_keys(h, s, t)
+            order = np.argsort(key, kind="stable")
+            start = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, len(key)))
+            common = np.repeat(size > SMALL_GROUP, size)
+            first = np.zeros(len(key), bool)
+            first[start] = True
+            rows: list[tuple[int, bytes, bytes, bytes, bytes, bytes]] = []
+            if common.any():  # these need no meeting, but a mark for what meets under the same key elsewhere
+                of = order[common]
+                rows.append((-1 - int(key[of[0]] % U(shards)), key[of].tobytes(), b"", ids[owner[of]].tobytes(), b"", b""))
+            marks = key[order[common & first]]
+            order = np.sort(order[~common | first])  # by owner again, which packs better
+            shard = (key[order] % U(shards)).astype(np.int64)
+            order = order[np.argsort(shard, kind="stable")]
+            cut = np.searchsorted(np.sort(shard), np.arange(shards + 1))
+            marked = (marks % U(shards)).astype(np.int64)
             for i in range(shards):
                 of = order[cut[i] : cut[i + 1]]
                 if len(of):
                     used, place = np.unique(owner[of], return_inverse=True)
-                    rows.append((i, key[of].tobytes(), place.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), ids[used].tobytes(), sizes[first][used].tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["shard", "keys", "places", "sids", "sizes"])
+                    rows.append((i, key[of].tobytes(), place.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), ids[used].tobytes(), sizes[used].tobytes(), marks[marked == i].tobytes()))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["shard", "keys", "places", "sids", "sizes", "marks"])
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) and rows["shard"].iloc[0] < 0:
+            members = pd.DataFrame({"key": np.frombuffer(b"".join(rows["keys"]), np.int64), "a": np.frombuffer(b"".join(rows["sids"]), np.int64)}).drop_duplicates()
+            return members.assign(b=None)[["key", "a", "b"]].astype({"key": "Int64", "b": "Int64"})
         keys, sids, ns = [], [], []
         for k, p, s, n in zip(rows["keys"], rows["places"], rows["sids"], rows["sizes"], strict=True):
             s, n = np.frombuffer(s, np.int64), np.frombuffer(n, np.int64)
@@ -262,7 +298,8 @@ def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int)
         key = key[order]
         same = np.zeros(len(key) + 1, bool)
         same[1:-1] = key[1:] == key[:-1]
-        shared = same[1:] | same[:-1]  # most keys belong to one set only
+        marks = np.frombuffer(b"".join(rows["marks"]), np.uint64)
+        shared = same[1:] | same[:-1] | np.isin(key, marks)  # most keys belong to one set only
         key, order = key[shared], order[shared]
         sid, n = sid[order], n[order]
         order = np.lexsort((sid, key))
@@ -272,7 +309,7 @@ def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int)
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(key)))
         nth = np.arange(len(key)) - np.repeat(start, size)
-        size_of = np.repeat(size, size)
+        size_of = np.repeat(np.where(np.isin(key[start], marks), SMALL_GROUP + 1, size), size)
         a, b = [], []
         for back in range(1, SMALL_GROUP):
             i = np.flatnonzero((nth >= back) & (size_of <= SMALL_GROUP))
@@ -285,13 +322,36 @@ def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int)
         return pd.concat([pairs.assign(key=None), members.assign(b=None)])[["key", "a", "b"]].astype({"key": "Int64", "b": "Int64"})
 
     small_batches(docs.sparkSession)
-    packed = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(emit, "shard int, keys binary, places binary, sids binary, sizes binary")
+    packed = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(emit, "shard int, keys binary, places binary, sids binary, sizes binary, marks binary")
     return packed.groupBy("shard").applyInPandas(meet, "key long, a long, b long")
 
 
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A partition's edges (a, b) as arcs from each node to the smallest that it reaches by them."""
+    root: dict[int, int] = {}
+    for batch in batches:
+        for x, y in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            join(root, x, y)
+    rows = [(x, find(root, x)) for x in root]
+    yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["u", "v"], dtype="int64")
+
+
+def find(root: dict[int, int], x: int) -> int:
+    root.setdefault(x, x)
+    while root[x] != x:
+        root[x] = x = root[root[x]]
+    return x
+
+
+def join(root: dict[int, int], x: int, y: int) -> None:
+    x, y = find(root, x), find(root, y)
+    root[max(x, y)] = min(x, y)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for edges (a, b), by alternating stars until each tree is one; nothing is collected."""
-    arcs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    """node, root (the smallest node reachable) for edges (a, b): trees of each partition, then alternating stars until each tree is one; nothing is collected."""
+    arcs = edges.select("a", "b").mapInPandas(_forest, "u long, v long").distinct()
+    last = None
     while True:
         both = arcs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -299,33 +359,51 @@ def components(edges: DataFrame) -> DataFrame:
         # each node keeps its smallest neighbour; what hung on it follows
         least = arcs.groupBy("u").agg(F.min("v").alias("m"))
         arcs = arcs.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        arcs = saved(arcs)
+        before, arcs = last, saved(arcs)
+        last = arcs
+        if before is not None:
+            dropped(before)
+        ends = arcs.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+        open_ = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").head(1)
         release(edges.sparkSession)
-        if not arcs.select(F.col("v").alias("u")).distinct().join(arcs, "u", "left_semi").head(1) and not arcs.groupBy("u").count().where("count > 1").head(1):
+        if not open_:
             return arcs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def neighbourhoods(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, n) with g: the smallest node at most two steps away, which pairs of one small group share."""
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l"))
+    of = lambda c: label.select(F.col("u").alias(c), F.col("l").alias(f"l{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n", F.least("la", "lb").alias("g"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) of set ids that are linked, by their whole texts (sid, text)."""
-    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHECK_BLOCK).alias("parts"))
-    dealt = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("c"))
-    ours = dealt.join(texts, F.col("a") == F.col("sid")).select("b", "c", "a", "text")
-    hubs = dealt.select(F.col("b").alias("hub"), F.col("c").alias("part")).distinct().join(texts, F.col("hub") == F.col("sid")).select("hub", "part", F.col("text").alias("hub_text"))
-
-    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            raw = [x.encode() for x in [right["hub_text"].iloc[0], *left["text"]]]
-            for i in range(1, len(raw)):
-                if i == 1:
-                    hub = _set(raw[0], words)
-                one = _set(raw[i], words)
-                both = len(np.intersect1d(hub, one, assume_unique=True))
-                if both * t.denominator >= t.numerator * (len(hub) + len(one) - both):
-                    found.append((left["a"].iloc[i - 1], left["b"].iloc[i - 1]))
+    """Of the pairs (a, b, n, g) of set ids links that join all that are linked, by their whole texts (sid, text).
+
+    g: pairs that had better be verified together; n: their sizes. A call gets about ``CALL_SHINGLES`` of them, so large g
+    are split and small ones share a call.
+    """
+    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    calls = -(-int(total) // CALL_SHINGLES) or 1
+    many = pairs.groupBy("g").agg(F.ceil(F.sum("n") / CALL_SHINGLES).alias("parts"))
+    dealt = pairs.join(many, "g").select("a", "b", F.pmod(F.xxhash64("g", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("a"), F.col("parts"))).otherwise(F.lit(0))), F.lit(calls)).alias("call"))
+    wanted = dealt.select("call", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sent = wanted.join(texts, "sid").select("call", "sid", "text")
+
+    def check(some: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        text, made, root, found = dict(zip(have["sid"].tolist(), have["text"], strict=True)), {}, {}, []
+        for a, b in sorted(zip(some["a"].tolist(), some["b"].tolist(), strict=True)):
+            if find(root, a) != find(root, b) and a in text and b in text:
+                x, y = (made[c] if c in made else made.setdefault(c, _set(text[c].encode(), words)) for c in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both * t.denominator >= t.numerator * (len(x) + len(y) - both):
+                    join(root, a, b)
+                    found.append((a, b))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return ours.groupBy("b", "c").cogroup(hubs.groupBy("hub", "part")).applyInPandas(check, "a long, b long")
+    sent = sent.withColumnRenamed("call", "to")
+    return dealt.groupBy("call").cogroup(sent.groupBy("to")).applyInPandas(check, "a long, b long")
 
 
 def _set(raw: bytes, words: int) -> np.ndarray:
@@ -340,22 +418,27 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     t = threshold
     rows = saved(described(docs, doc_id, text, words))
     sets = saved(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
-    # sets whose text would be found in several rows, as id and text are repeated
-    again = saved(rows.where("n > 0").groupBy("sid", F.struct("doc_id", "text_hash").alias("at")).count().where("count > 1").join(sets.select("sid", "at"), ["sid", "at"], "left_semi").select("sid"))
     volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     met = saved(candidates(docs, text, words, t, max(8, -(-int(volume) // SHARD_BYTES))))
+    # with each member of a key the next smaller ones of its keys
+    own = Window.partitionBy("a").orderBy("key")
+    members = saved(met.where("key is not null").select("key", "a").distinct().select("key", "a", *[F.lag("key", i).over(own).alias(f"e{i}") for i in range(1, EARLIER + 1)]))
     close = saved(_within(met.where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), sets, t))
-    state = Links(docs.select(F.col(doc_id).alias("rep"), F.xxhash64(text).alias("rep_hash"), F.col(text).cast("string").alias("text")), sets, again, words, t)
-    state.settle(saved(_within(_hubs(met, sets), sets, t)), 1)
-    state.settle(close, 2)
-    open_, most = met.where("key is not null").select("key", "a"), NEAREST
+    dropped(met)
+    pairs = saved(close.unionByName(_within(_hubs(members, sets), sets, t)).distinct())
+    state = Links(_texts(docs, doc_id, text, sets, close, members), words, t)
+    dropped(close)
+    state.settle(saved(neighbourhoods(pairs)))
+    dropped(pairs)
+    open_, most = members, NEAREST
     while (more := _large_groups(open_, sets, state.comp, t, most)) is not None:
         release(docs.sparkSession)
-        state.settle(more.select("a", "b").distinct(), 2)
+        state.settle(more.groupBy("a", "b").agg(F.max("n").alias("n"), F.min("g").alias("g")))
         cut = more.where("cut").select("key").distinct()
         if not cut.head(1):
             break
-        open_, most = open_.join(cut, "key", "left_semi"), most * 8
+        open_, most = saved(open_.join(cut, "key", "left_semi")), most * 8
+        dropped(more)
     comp = state.comp
     named = sets.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", "copies", F.coalesce("root", "sid").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component"))
@@ -365,49 +448,46 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(whole, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(whole, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"), *(["text_hash"] if keyed else []))
 
 
+def _texts(docs: DataFrame, doc_id: str, text: str, sets: DataFrame, close: DataFrame, members: DataFrame) -> DataFrame:
+    """(sid, text), one row for each set that has a candidate; found by the id and the hash of one of the set's texts."""
+    wanted = close.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select(F.col("a").alias("sid"))).distinct()
+    reps = saved(sets.join(wanted, "sid", "left_semi").select("sid", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash")))
+    side = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+    rows = docs.select(F.col(doc_id).alias("rep"), F.xxhash64(text).alias("rep_hash"), F.col(text).cast("string").alias("text"))
+    found = rows.join(side, (F.col("rep_hash") == F.col("at_hash")) & F.col("rep").eqNullSafe(F.col("at_id")))
+    return saved(found.groupBy("sid").agg(F.first("text").alias("text")))  # rows can be repeated
+
+
 class Links:
     """The pairs verified so far, the links found, and the components they make."""
 
-    def __init__(self, texts: DataFrame, sets: DataFrame, again: DataFrame, words: int, t: Fraction) -> None:
-        self.texts, self.sets, self.words, self.t = texts, sets, words, t
-        self.again = again if again.head(1) else None
+    def __init__(self, texts: DataFrame, words: int, t: Fraction) -> None:
+        self.texts, self.words, self.t = texts, words, t
         spark = texts.sparkSession
-        self.tried, self.edges = (spark.createDataFrame([], "a long, b long") for _ in range(2))
-        self.comp = spark.createDataFrame([], "node long, root long")
-
-    def _found(self, reps: DataFrame) -> DataFrame:
-        """(sid, text) of the rows that stand for the sets; ids can be null, or have several texts."""
-        return self.texts.join(reps, F.col("rep").eqNullSafe(F.col("at_id")) & (F.col("rep_hash") == F.col("at_hash"))).select("sid", "text")
-
-    def settle(self, pairs: DataFrame, turns: int) -> None:
-        """Verifies the pairs between components, in two turns one of each set first."""
-        for turn in range(turns):
-            of = lambda c: self.comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-            left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-            left = left.join(self.tried, ["a", "b"], "left_anti")
-            if turn + 1 < turns:
-                ends = left.select(F.explode(F.array(F.struct("a", F.col("b").alias("o")), F.struct(F.col("b").alias("a"), F.col("a").alias("o")))).alias("e"))
-                left = ends.groupBy("e.a").agg(F.min("e.o").alias("o")).select(F.greatest("a", "o").alias("a"), F.least("a", "o").alias("b")).distinct()
-            now = saved(left)
-            if not now.head(1):
-                return
-            self.tried = saved(self.tried.unionByName(now))
-            release(self.texts.sparkSession)
-            wanted = now.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-            reps = self.sets.join(wanted, "sid", "left_semi").select("sid", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"))
-            texts = self._found(reps)
-            if self.again is not None:
-                texts = self._found(reps.join(self.again, "sid", "left_anti")).unionByName(self._found(reps.join(self.again, "sid", "left_semi")).groupBy("sid").agg(F.first("text").alias("text")))
-            found = verified(now, texts, self.words, self.t)
-            self.edges = saved(self.edges.unionByName(found).distinct())
-            release(self.texts.sparkSession)
-            self.comp = components(self.edges)
+        self.tried, self.edges = (saved(spark.createDataFrame([], "a long, b long")) for _ in range(2))
+        self.comp = saved(spark.createDataFrame([], "node long, root long"))
+
+    def _next(self, name: str, df: DataFrame) -> None:
+        """Replaces a table by what was made from it."""
+        before, now = getattr(self, name), saved(df)
+        setattr(self, name, now)
+        dropped(before)
+
+    def settle(self, pairs: DataFrame) -> None:
+        """Verifies the pairs (a, b, n, g) that are between components and were not before."""
+        of = lambda c: self.comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        now = saved(left.join(self.tried, ["a", "b"], "left_anti").select("a", "b", "n", "g"))
+        if now.head(1):
+            self._next("tried", self.tried.unionByName(now.select("a", "b")))
+            self._next("edges", self.edges.unionByName(verified(now, self.texts, self.words, self.t)))
+            self._next("comp", components(self.edges))
             release(self.texts.sparkSession)
+        dropped(now)
 
 
-def _hubs(met: DataFrame, sets: DataFrame) -> DataFrame:
+def _hubs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Each member of large groups, in its largest one, with the hub of its block; and the blocks' hubs with the first of them."""
-    members = met.where("key is not null").select("key", "a")
     size = members.groupBy("key").agg(F.count("*").alias("g"))
     own = members.join(size, "key").groupBy("a").agg(F.max(F.struct("g", "key")).alias("m")).select("a", "m.key", F.pmod(F.xxhash64("a"), F.ceil(F.col("m.g") / GROUP_BLOCK)).alias("part"))
 
@@ -434,17 +514,19 @@ def _within(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             ok = [near(x, y, int(n), t) for x, y, n in zip(p["sa"], p["sb"], p["n"], strict=True)]
-            yield p.loc[np.array(ok, bool), ["a", "b"]]
+            yield p.loc[np.array(ok, bool), ["a", "b", "n"]]
 
-    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb").mapInPandas(keep, "a long, b long")
+    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb").mapInPandas(keep, "a long, b long, n long")
 
 
 def _large_groups(members: DataFrame, sets: DataFrame, comp: DataFrame, t: Fraction, most: int) -> DataFrame | None:
-    """(key, a, b, cut): for each component in a block pair of a group (key, a), its ``most`` nearest pairs to others; cut: it has more.
+    """(key, g, a, b, n, cut): for each component in a block pair g of a group (key, a), its ``most`` nearest pairs to others; cut: it has more.
 
-    A group without such pairs needs no later round: components only grow.
+    A group without such pairs needs no later round: components only grow. A pair with a common smaller key is left to that one, where
+    the members' next smaller keys show it.
     """
-    named = members.join(comp, F.col("a") == F.col("node"), "left").select("key", "a", F.coalesce("root", "a").alias("root"))
+    earlier = [f"e{i}" for i in range(1, EARLIER + 1)]
+    named = members.join(comp, F.col("a") == F.col("node"), "left").select("key", "a", *earlier, F.coalesce("root", "a").alias("root"))
     several = named.groupBy("key").agg(F.count("*").alias("g"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     left = saved(named.join(several.select("key", "g"), "key"))
     n = left.count()
@@ -454,36 +536,38 @@ def _large_groups(members: DataFrame, sets: DataFrame, comp: DataFrame, t: Fract
     full = full.withColumn("own", F.pmod(F.xxhash64("a"), F.col("nb")).cast("int"))
     # a block meets itself and every later one: side 0 has the earlier block, side 1 the later
     places = F.concat(F.transform(F.expr("sequence(own, nb - 1)"), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side"))), F.filter(F.transform(F.expr("sequence(0, own)"), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))), lambda p: p["i"] < p["j"]))
-    dealt = full.select("key", F.explode(places).alias("p"), "a", "root", "n", "sketch").select("key", "p.i", "p.j", "p.side", "a", "root", "n", "sketch")
+    dealt = full.select("key", F.explode(places).alias("p"), "a", "root", "n", "sketch", *earlier).select("key", "p.i", "p.j", "p.side", "a", "root", "n", "sketch", *[F.coalesce(e, "a").alias(e) for e in earlier])
     # many small groups share a task's call
     dealt = dealt.withColumn("call", F.pmod(F.xxhash64("key", "i", "j"), F.lit(1 + n // 4096)))
 
-    def nearest(key: int, x: np.ndarray, y: np.ndarray, a: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int, int, bool]]:
+    def nearest(key: int, x: np.ndarray, y: np.ndarray, a: np.ndarray, root: np.ndarray, n: np.ndarray, before: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int, int, int, bool]]:
         size = min(map(len, (sketches[k] for k in (*x, *y))))
         sx, sy = (np.stack([folded(sketches[k], size) for k in q]) for q in (x, y))
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        found: dict[int, list[tuple[int, int, int, int]]] = {}
         for i, k in enumerate(x):
             apart = np.bitwise_count(sx[i] ^ sy).sum(1, dtype=np.int64)
             fits = (root[y] != root[k]) & (np.minimum(n[k], n[y]) * t.denominator >= np.maximum(n[k], n[y]) * t.numerator)
             at = np.flatnonzero(fits & (apart * (t.denominator + t.numerator) <= (t.denominator - t.numerator) * (n[k] + n[y])))
+            at = at[~(before[y[at]][:, :, None] == before[k]).any((1, 2))]
             if len(at) > most + 1:  # one more than wanted shows that there are more
                 at = at[np.argpartition(apart[at], most)[: most + 1]]
             if len(at):
-                found.setdefault(int(root[k]), []).extend((int(apart[j]), int(a[k]), int(a[y[j]])) for j in at)
-        return [(key, p, q, len(of) > most) for of in found.values() for _, p, q in sorted(of)[:most]]
+                found.setdefault(int(root[k]), []).extend((int(apart[j]), int(a[k]), int(a[y[j]]), int(n[k] + n[y[j]])) for j in at)
+        return [(key, p, q, both, len(of) > most) for of in found.values() for _, p, q, both in sorted(of)[:most]]
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         key, i, j, side, a, root, n = (p[c].to_numpy() for c in ("key", "i", "j", "side", "a", "root", "n"))
-        sketches = p["sketch"].tolist()
+        sketches, before = p["sketch"].tolist(), p[earlier].to_numpy()
         order = np.lexsort((side, j, i, key))
         new = np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in (key, i, j)], axis=0)])
-        out: list[tuple[int, int, int, bool]] = []
+        out: list[tuple[int, int, int, int, int, bool]] = []
         for at in np.split(order, np.flatnonzero(new)[1:]):
             x = at[side[at] == 0]
             y = x if i[at[0]] == j[at[0]] else at[side[at] == 1]
             if len(x) and len(y):
-                out += nearest(int(key[at[0]]), x, y, a, root, n, sketches)
-        return pd.DataFrame(out, columns=["key", "a", "b", "cut"]).astype({"key": np.int64, "a": np.int64, "b": np.int64, "cut": bool})
+                g = hash((int(key[at[0]]), int(i[at[0]]), int(j[at[0]])))
+                out += [(g, *row) for row in nearest(int(key[at[0]]), x, y, a, root, n, before, sketches)]
+        return pd.DataFrame(out, columns=["g", "key", "a", "b", "n", "cut"]).astype({"g": np.int64, "key": np.int64, "a": np.int64, "b": np.int64, "n": np.int64, "cut": bool})
 
-    found = dealt.groupBy("call").applyInPandas(compare, "key long, a long, b long, cut boolean")
-    return saved(found.select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "cut"))
+    found = dealt.groupBy("call").applyInPandas(compare, "g long, key long, a long, b long, n long, cut boolean")
+    return saved(found.select("g", "key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "n", "cut"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANK_WORDS, fresh, saved
+from tessera.llm.common import BLANK_GAPS, fresh, saved, split_words
 
 ADDED = ("size", "source_size", "target", "copies", "taken")
 BINS = 16384
@@ -58,7 +58,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
     key, size, weight, u = (fresh(docs, n) for n in ("_source", "_size", "_weight", "_u"))
     sized = docs.select(
         "*", F.col(source).cast("string").alias(key),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(BLANK_WORDS)), F.lit(0)).cast("long").alias(size),
+        F.size(split_words(F.col(text), BLANK_GAPS)).cast("long").alias(size),
         F.coalesce(doc_weight if doc_weight is not None else F.lit(1.0), F.lit(1.0)).cast("double").alias(weight),
         ((F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)).alias(u),
     )

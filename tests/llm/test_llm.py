@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,33 @@ def test_jaccard_components(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(rows)
 
 
+def test_jaccard_large_groups(spark):
+    """Thousands of near copies around a centre, most of which are not linked to each other; and a text that every second row has."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(10, " ".join(base))]
+    for i in range(5000):
+        words = list(base)
+        words[rng.randrange(8, 52)] = f"x{i}"
+        rows.append((100 + i, " ".join(words)))
+    rows += [(20000 + i, "one text that very many rows share with each other") for i in range(5000)] + [(7, "one text that very many rows share with each other")]
+    rng.shuffle(rows)
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, KIND).repartition(5)).collect()
+    assert len(out) == len(rows) and {r.component_id for r in out if r.doc_id < 20000 and r.doc_id != 7} == {10}
+    assert {r.component_id for r in out if r.doc_id >= 20000 or r.doc_id == 7} == {7} and {r.n_copies for r in out if r.doc_id >= 20000} == {5001}
+
+
+def test_stretches_give_each_set_once(monkeypatch):
+    texts = [f"word{i % 7} and some more words to fill a text" for i in range(50)] + ["", "long " * 500, "long " * 500]
+    whole = {int(i) for t in texts for i in jaccard.set_ids(*jaccard.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))}
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(jaccard, "STRETCH_BYTES", size)
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 20])], names=["t"]) for i in range(0, len(texts), 20)]
+        found = [jaccard.set_ids(h, s).tolist() for h, s in jaccard.stretches(iter(batches), 5)]
+        assert {i for f in found for i in f} == whole and all(len(set(f)) == len(f) for f in found)
+    assert len(found) == 1
+
+
 def test_jaccard_odd(odd, none):
     out = sorted(jaccard.jaccard_components(odd).collect(), key=lambda r: (r.doc_id or 0, r.n_shingles))
     assert len(out) == len(ODD) and [r.component_id for r in out if r.doc_id == 4] == [4, 4] and [r.n_copies for r in out if r.doc_id == 4] == [2, 2]
