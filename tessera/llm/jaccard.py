@@ -53,8 +53,8 @@ EARLIER = 3
 #: Pairs that a component gives in the first round over large groups; eight times as many in each further one.
 NEAREST = 16
 #: Text bytes for each shard of candidate keys, and of a stretch of input in which each set's keys are made once.
-SHARD_BYTES, STRETCH_BYTES = 12 << 20, 8 << 20
-#: Texts are found by a broadcast of their ids only where these are counted to be at most so many.
+SHARD_BYTES, STRETCH_BYTES = 24 << 20, 8 << 20
+#: Sets and texts are found by a broadcast of their ids only where these are counted to be at most so many.
 BROADCAST_ROWS = 500_000
 U = np.uint64
 
@@ -233,6 +233,21 @@ def described(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"), F.xxhash64(text).alias("text_hash")).mapInArrow(describe, f"doc_id {kind}, text_hash long, n long, sid long, sketch binary")
 
 
+def short(key: np.ndarray) -> np.ndarray:
+    """The upper 40 bits of keys, which tell the keys of one shard apart; two that agree only give more candidates."""
+    return key >> U(24)
+
+
+def pack_short(key: np.ndarray) -> bytes:
+    return np.ascontiguousarray(short(key).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpack_short(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).reshape(-1)
+
+
 def stretches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The sets of about ``STRETCH_BYTES`` of text at a time, each once: hashes and offsets."""
     kept: dict[int, np.ndarray] = {}
@@ -256,7 +271,7 @@ def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int)
     """Rows (key, a, b): pairs of set ids of small groups (key null), and members a of large groups (b null; they can be repeated)."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, s in stretches(batches, words):
-            ids, sizes = set_ids(h, s), np.diff(s)
+            ids, sizes = set_ids(h, s), np.diff(s).astype(np.uint32)
             key, owner = block_keys(h, s, t)
             order = np.argsort(key, kind="stable")
             start = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -267,7 +282,8 @@ def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int)
             rows: list[tuple[int, bytes, bytes, bytes, bytes, bytes]] = []
             if common.any():  # these need no meeting, but a mark for what meets under the same key elsewhere
                 of = order[common]
-                rows.append((-1 - int(key[of[0]] % U(shards)), key[of].tobytes(), b"", ids[owner[of]].tobytes(), b"", b""))
+                named = (key[of] % U(shards) << U(40)) | short(key[of])
+                rows.append((-1 - int(named[0] % U(shards)), named.tobytes(), b"", ids[owner[of]].tobytes(), b"", b""))
             marks = key[order[common & first]]
             order = np.sort(order[~common | first])  # by owner again, which packs better
             shard = (key[order] % U(shards)).astype(np.int64)
@@ -278,30 +294,28 @@ def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int)
                 of = order[cut[i] : cut[i + 1]]
                 if len(of):
                     used, place = np.unique(owner[of], return_inverse=True)
-                    rows.append((i, key[of].tobytes(), place.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), ids[used].tobytes(), sizes[used].tobytes(), marks[marked == i].tobytes()))
+                    rows.append((i, pack_short(key[of]), place.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), ids[used].tobytes(), sizes[used].tobytes(), pack_short(marks[marked == i])))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["shard", "keys", "places", "sids", "sizes", "marks"])
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) and rows["shard"].iloc[0] < 0:
+        shard = int(rows["shard"].iloc[0])
+        if shard < 0:
             members = pd.DataFrame({"key": np.frombuffer(b"".join(rows["keys"]), np.int64), "a": np.frombuffer(b"".join(rows["sids"]), np.int64)}).drop_duplicates()
             return members.assign(b=None)[["key", "a", "b"]].astype({"key": "Int64", "b": "Int64"})
-        keys, sids, ns = [], [], []
-        for k, p, s, n in zip(rows["keys"], rows["places"], rows["sids"], rows["sizes"], strict=True):
-            s, n = np.frombuffer(s, np.int64), np.frombuffer(n, np.int64)
+        sids, ns = [], []
+        for p, s, n in zip(rows["places"], rows["sids"], rows["sizes"], strict=True):
+            s = np.frombuffer(s, np.int64)
             p = np.frombuffer(p, np.uint32 if len(s) > 65535 else np.uint16)
-            keys.append(np.frombuffer(k, np.uint64))
             sids.append(s[p])
-            ns.append(n[p].astype(np.int64))
-        key, sid, n = np.concatenate(keys), np.concatenate(sids), np.concatenate(ns)
+            ns.append(np.frombuffer(n, np.uint32)[p])
+        key, sid, n, marks = unpack_short(b"".join(rows["keys"])), np.concatenate(sids), np.concatenate(ns), unpack_short(b"".join(rows["marks"]))
         order = np.argsort(key)
         key = key[order]
         same = np.zeros(len(key) + 1, bool)
         same[1:-1] = key[1:] == key[:-1]
-        marks = np.frombuffer(b"".join(rows["marks"]), np.uint64)
         shared = same[1:] | same[:-1] | np.isin(key, marks)  # most keys belong to one set only
-        key, order = key[shared], order[shared]
-        sid, n = sid[order], n[order]
+        key, sid, n = key[shared], sid[order[shared]], n[order[shared]].astype(np.int64)
         order = np.lexsort((sid, key))
         key, sid, n = key[order], sid[order], n[order]
         once = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])]) if len(key) else np.zeros(0, bool)
@@ -318,7 +332,7 @@ def candidates(docs: DataFrame, text: str, words: int, t: Fraction, shards: int)
             b.append(sid[i - back])
         pairs = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
         large = np.flatnonzero(size_of > SMALL_GROUP)
-        members = pd.DataFrame({"key": key[large].view(np.int64), "a": sid[large]})
+        members = pd.DataFrame({"key": ((U(shard) << U(40)) | key[large]).view(np.int64), "a": sid[large]})
         return pd.concat([pairs.assign(key=None), members.assign(b=None)])[["key", "a", "b"]].astype({"key": "Int64", "b": "Int64"})
 
     small_batches(docs.sparkSession)
@@ -388,8 +402,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> Dat
     calls = -(-int(total) // CALL_SHINGLES) or 1
     many = pairs.groupBy("g").agg(F.ceil(F.sum("n") / CALL_SHINGLES).alias("parts"))
     dealt = pairs.join(many, "g").select("a", "b", F.pmod(F.xxhash64("g", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("a"), F.col("parts"))).otherwise(F.lit(0))), F.lit(calls)).alias("call"))
-    wanted = dealt.select("call", F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sent = wanted.join(texts, "sid").select("call", "sid", "text")
+    wanted = saved(dealt.select("call", F.explode(F.array("a", "b")).alias("sid")).distinct())
+    sent = texts.join(_side(wanted), "sid").select("call", "sid", "text")
 
     def check(some: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         text, made, root, found = dict(zip(have["sid"].tolist(), have["text"], strict=True)), {}, {}, []
@@ -417,27 +431,31 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     """
     t = threshold
     rows = saved(described(docs, doc_id, text, words))
-    sets = saved(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
+    sets = saved(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.count("*").alias("copies")))
     volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     met = saved(candidates(docs, text, words, t, max(8, -(-int(volume) // SHARD_BYTES))))
+    release(docs.sparkSession)
     # with each member of a key the next smaller ones of its keys
     own = Window.partitionBy("a").orderBy("key")
     members = saved(met.where("key is not null").select("key", "a").distinct().select("key", "a", *[F.lag("key", i).over(own).alias(f"e{i}") for i in range(1, EARLIER + 1)]))
-    close = saved(_within(met.where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), sets, t))
+    close = saved(met.where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     dropped(met)
-    pairs = saved(close.unionByName(_within(_hubs(members, sets), sets, t)).distinct())
-    state = Links(_texts(docs, doc_id, text, sets, close, members), words, t)
+    wanted = saved(close.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select(F.col("a").alias("sid"))).distinct())
+    met_sets = saved(rows.join(_side(wanted), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    pairs = saved(_within(close, met_sets, t).unionByName(_within(_hubs(members, met_sets), met_sets, t)).distinct())
     dropped(close)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select(F.col("a").alias("sid"))).distinct()
+    state = Links(_texts(docs, doc_id, text, sets, saved(wanted)), words, t)
     state.settle(saved(neighbourhoods(pairs)))
     dropped(pairs)
     open_, most = members, NEAREST
-    while (more := _large_groups(open_, sets, state.comp, t, most)) is not None:
+    while (more := _large_groups(open_, met_sets, state.comp, t, most)) is not None:
         release(docs.sparkSession)
         state.settle(more.groupBy("a", "b").agg(F.max("n").alias("n"), F.min("g").alias("g")))
         cut = more.where("cut").select("key").distinct()
         if not cut.head(1):
             break
-        open_, most = saved(open_.join(cut, "key", "left_semi")), most * 8
+        open_, most = saved(open_.join(_side(cut), "key", "left_semi")), most * 8
         dropped(more)
     comp = state.comp
     named = sets.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", "copies", F.coalesce("root", "sid").alias("root"))
@@ -448,13 +466,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(whole, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(whole, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"), *(["text_hash"] if keyed else []))
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str, sets: DataFrame, close: DataFrame, members: DataFrame) -> DataFrame:
-    """(sid, text), one row for each set that has a candidate; found by the id and the hash of one of the set's texts."""
-    wanted = close.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select(F.col("a").alias("sid"))).distinct()
-    reps = saved(sets.join(wanted, "sid", "left_semi").select("sid", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash")))
-    side = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+def _side(ids: DataFrame) -> DataFrame:
+    """One or two numbers a row: broadcast where counted to be few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, text), one row for each wanted set; found by the id and the hash of one of the set's texts."""
+    reps = saved(sets.join(_side(wanted), "sid", "left_semi").select("sid", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash")))
     rows = docs.select(F.col(doc_id).alias("rep"), F.xxhash64(text).alias("rep_hash"), F.col(text).cast("string").alias("text"))
-    found = rows.join(side, (F.col("rep_hash") == F.col("at_hash")) & F.col("rep").eqNullSafe(F.col("at_id")))
+    found = rows.join(_side(reps), (F.col("rep_hash") == F.col("at_hash")) & F.col("rep").eqNullSafe(F.col("at_id")))
     return saved(found.groupBy("sid").agg(F.first("text").alias("text")))  # rows can be repeated
 
 
