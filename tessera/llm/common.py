@@ -6,6 +6,7 @@ import gc
 import os
 import string
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +67,10 @@ def dropped(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Between rounds: lets Spark drop shuffle files and broadcasts of finished rounds, which it does when their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.15)  # Python's handles are given up by a thread of their own
+        spark.sparkContext._jvm.System.gc()
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,12 +1,13 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after the other, each by a linear (logistic) model over the words a text holds and the
-probabilities of the categories before it; words count whole and by their first letters. Where a later model is fitted, the earlier probabilities are
+probabilities of the categories before it. Where a later model is fitted, the earlier probabilities are
 out-of-fold predictions: those of models that have not seen the row, as they will be in use.
 
 The models are fitted on the driver, on at most ``SAMPLE_ROWS`` labelled rows (those with the smallest hash of id and
-label) and ``WORDS`` words for each category (those with the largest z-score of their share in positive
-rows). Word counts of the sample are taken on the executors. Every text is then scored whole.
+label). Features are the words of the sample whose share in positive rows is at least ``LEAST_Z`` standard
+deviations from that of all rows; their number is bounded by the sample alone. The penalty is the one of ``PENALTIES`` with the
+least out-of-fold loss. Words are counted on the executors. Every text is then scored whole.
 
 Defined results. Null and empty texts hold no word and get the models' base probability. Labels that are null or
 whose document is missing are not fitted on. Without a row of both classes a category's probability is its
@@ -26,7 +27,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import buffers, saved, small_batches, word_table
 
-SAMPLE_ROWS, WORDS, FOLDS = 10_000, 600, 5
+#: Bound of the labelled rows that the chain is fitted on, and the tasks they are dealt to.
+SAMPLE_ROWS, SAMPLE_TASKS, FOLDS = 10_000, 32, 5
+#: A word is a feature of a category if its rows of the sample have the category so many standard deviations more or less often than all: fewer than one of a million words does so by chance.
+LEAST_Z = 5.0
+#: Penalties tried; the one with the least out-of-fold loss is taken.
+PENALTIES = (0.3, 1.0, 3.0)
 _BLANKS = bytes(c if inside else 0x20 for c, inside in enumerate(word_table()))
 
 
@@ -58,21 +64,52 @@ class Rows(NamedTuple):
         return Rows(self.word[of], at[self.row[of]], int(keep.sum()), self.m)
 
 
-def logistic(x: Rows, dense: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 0.3) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, weights of dense columns and bias, by Adam on the whole sample; the penalty is on the squares of the weights."""
+def logistic(x: Rows, dense: np.ndarray, y: np.ndarray, penalty: float = 1.0, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, weights of dense columns and bias with the least loss: Newton steps solved by conjugate gradients.
+
+    The loss is the negative log-likelihood and half the penalty times the squares of the weights, the bias free.
+    """
     share = (y.sum() + 0.5) / (len(y) + 1)
     theta = np.zeros(x.m + dense.shape[1] + 1)
     theta[-1] = np.log(share / (1 - share))
     if not 0 < y.sum() < len(y):
         return theta[: x.m], theta[x.m : -1], float(theta[-1])
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for t in range(1, steps + 1):
-        p = _sigmoid(x.times(theta[: x.m]) + dense @ theta[x.m : -1] + theta[-1])
-        e = p - y
-        g = np.concatenate([np.bincount(x.word, e[x.row], x.m) + penalty * theta[: x.m], dense.T @ e + penalty * theta[x.m : -1], [e.sum()]])
-        m = 0.9 * m + 0.1 * g
-        v = 0.99 * v + 0.01 * g * g
-        theta -= 0.15 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    ridge = np.full(len(theta), penalty)
+    ridge[-1] = 0.0
+    forth = lambda v: x.times(v[: x.m]) + dense @ v[x.m : -1] + v[-1]
+    back = lambda e: np.concatenate([np.bincount(x.word, e[x.row], x.m), dense.T @ e, [e.sum()]])
+    loss = lambda v, z: float(np.logaddexp(0, z).sum() - y @ z + ridge @ (v * v) / 2)
+    z = forth(theta)
+    now = loss(theta, z)
+    for _ in range(50):
+        p = _sigmoid(z)
+        gradient = back(p - y) + ridge * theta
+        size = float(np.linalg.norm(gradient))
+        if size <= tolerance * len(y):
+            break
+        curve = np.maximum(p * (1 - p), 1e-12)
+        scale = np.concatenate([np.bincount(x.word, curve[x.row], x.m), (dense * dense).T @ curve, [curve.sum()]]) + ridge
+        step, r = np.zeros_like(theta), -gradient
+        q = r / scale
+        d, rq = q.copy(), float(r @ q)
+        for _ in range(200):
+            if np.linalg.norm(r) <= min(0.1, size**0.5) * size:
+                break
+            hd = back(curve * forth(d)) + ridge * d
+            alpha = rq / float(d @ hd)
+            step += alpha * d
+            r -= alpha * hd
+            q = r / scale
+            rq, before = float(r @ q), rq
+            d = q + (rq / before) * d
+        move, fall = forth(step), float(gradient @ step)
+        t = 1.0
+        while t > 1e-6 and loss(theta + t * step, z + t * move) > now + 1e-4 * t * fall:
+            t /= 2
+        if t <= 1e-6:
+            break
+        theta, z = theta + t * step, z + t * move
+        now = loss(theta, z)
     return theta[: x.m], theta[x.m : -1], float(theta[-1])
 
 
@@ -88,9 +125,31 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def _tokens(raw: bytes) -> set[bytes]:
-    """The words of a text and, marked by their length, their first four and five bytes: stems of inflected words."""
-    words = set(raw.lower().translate(_BLANKS).split())
-    return words | {b"\x04" + w[:4] for w in words} | {b"\x05" + w[:5] for w in words}
+    """The distinct words of a text."""
+    return set(raw.lower().translate(_BLANKS).split())
+
+
+def fit_models(x: Rows, ys: np.ndarray, fold: np.ndarray, categories: tuple[str, ...]) -> list[tuple[str, np.ndarray, np.ndarray, float, float]]:
+    """The chain's models: each has the out-of-fold probabilities of the categories before it as columns of its own."""
+    before = np.zeros((x.n, 0))
+    models = []
+    for i, name in enumerate(categories):
+        y, best = ys[:, i], None
+        for penalty in PENALTIES:
+            out = np.zeros(x.n)
+            for k in range(FOLDS):
+                fit_on = fold != k
+                w, v, bias = logistic(x.part(fit_on), before[fit_on], y[fit_on], penalty)
+                out[~fit_on] = _sigmoid(x.part(~fit_on).times(w) + before[~fit_on] @ v + bias)
+            sure = np.clip(out, 1e-12, 1 - 1e-12)
+            loss = -float(y @ np.log(sure) + (1 - y) @ np.log(1 - sure))
+            if best is None or loss < best[0]:
+                best = (loss, penalty, out)
+        _, penalty, out = best
+        w, v, bias = logistic(x, before, y, penalty)
+        models.append((name, w, v, bias, best_threshold(out, y)))
+        before = np.column_stack([before, out])
+    return models
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], doc_id: str = "doc_id", text: str = "text") -> Chain:
@@ -101,7 +160,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], d
     ys = [f"y{i}" for i in range(len(categories))]
     picked = saved(usable.orderBy(F.xxhash64("label_id", *ys), "label_id").limit(SAMPLE_ROWS))
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), F.col("id") == F.col("label_id"))
-    sample = saved(sample.orderBy(F.xxhash64("id", "t")).limit(SAMPLE_ROWS).select("t", *ys))
+    sample = saved(sample.orderBy(F.xxhash64("id", "t"), "id", "t", *ys).limit(SAMPLE_ROWS).select("t", *ys).repartition(SAMPLE_TASKS))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,7 +182,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], d
     for y in ys:
         share = (total[y] + 0.5) / (total.n + 1)
         z = F.abs(F.col(y) - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-        chosen |= {bytes(r.w) for r in seen.orderBy(F.desc(z), "w").limit(WORDS).collect()}
+        chosen |= {bytes(r.w) for r in seen.where(z >= LEAST_Z).select("w").collect()}  # of the bounded sample's words
     words = {w: i for i, w in enumerate(sorted(chosen))}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,22 +193,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], d
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *b.columns[1:]], names=["f", *ys])
 
     rows = sample.mapInArrow(held, "f array<int>, " + ", ".join(f"{y} int" for y in ys)).collect()  # at most SAMPLE_ROWS
+    rows.sort(key=lambda r: (r.f, [r[y] for y in ys]))  # so that reruns sum in one order
     x = Rows(np.array([f for r in rows for f in r.f], np.int64), np.repeat(np.arange(len(rows)), [len(r.f) for r in rows]).astype(np.int64), len(rows), len(words))
-    # equal texts get one fold, so that copies do not tell on each other
+    # rows with equal features get one fold, so that copies do not tell on each other
     fold = np.array([zlib.crc32(np.array(r.f, np.int32).tobytes()) % FOLDS for r in rows], np.int64)
-    before = np.zeros((len(rows), 0))
-    models = []
-    for i, name in enumerate(categories):
-        y = np.array([r[f"y{i}"] > 0 for r in rows], float)
-        out = np.zeros(len(rows))
-        for k in range(FOLDS):
-            fit_on = fold != k
-            w, v, bias = logistic(x.part(fit_on), before[fit_on], y[fit_on])
-            out[~fit_on] = _sigmoid(x.part(~fit_on).times(w) + before[~fit_on] @ v + bias)
-        w, v, bias = logistic(x, before, y)
-        models.append((name, w, v, bias, best_threshold(out, y)))
-        before = np.column_stack([before, out])
-    return Chain(words, models)
+    held_y = np.array([[r[y] > 0 for y in ys] for r in rows], float).reshape(len(rows), len(ys))
+    return Chain(words, fit_models(x, held_y, fold, categories))
 
 
 def score_chain(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:

@@ -587,6 +587,64 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score_chain(odd, flat).first().p_rude == pytest.approx(0.5)
 
 
+def brute_chain(texts, labels, fit_on):
+    """The chain with dense matrices and plain Newton steps, everything recomputed from the texts."""
+    def newton(x, y, penalty):
+        x = np.column_stack([x, np.ones(len(x))])
+        ridge = np.full(x.shape[1], penalty)
+        ridge[-1] = 0
+        theta = np.zeros(x.shape[1])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-x @ theta))
+            theta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * theta) * 0.7
+        return theta
+
+    say = lambda x, theta: 1 / (1 + np.exp(-np.column_stack([x, np.ones(len(x))]) @ theta))
+    words = [set(plain_words(t)) for t in texts]
+    y = np.array(labels, float)[fit_on]
+    chosen = set()
+    for w in set().union(*words):
+        has = np.array([w in words[i] for i in fit_on])
+        for c in range(y.shape[1]):
+            share = (y[:, c].sum() + 0.5) / (len(y) + 1)
+            if has.sum() >= 3 and abs(y[has, c].sum() - has.sum() * share) >= toxicity.LEAST_Z * math.sqrt(has.sum() * share * (1 - share)):
+                chosen.add(w)
+    names = sorted(chosen, key=str.encode)
+    x = np.array([[float(w in some) for w in names] for some in words])
+    fold = np.array([zlib.crc32(np.flatnonzero(x[i]).astype(np.int32).tobytes()) % toxicity.FOLDS for i in fit_on])
+    train, every, probabilities = x[fit_on], x, []
+    for c in range(y.shape[1]):
+        tried = []
+        for penalty in toxicity.PENALTIES:
+            out = np.zeros(len(y))
+            for k in range(toxicity.FOLDS):
+                out[fold == k] = say(train[fold == k], newton(train[fold != k], y[fold != k, c], penalty))
+            tried.append((-np.log(np.where(y[:, c] > 0, out, 1 - out)).sum(), penalty, out))
+        _, penalty, out = min(tried, key=lambda r: r[0])
+        p = say(every, newton(train, y[:, c], penalty))
+        probabilities.append(p)
+        train, every = np.column_stack([train, out]), np.column_stack([every, p])
+    return np.array(probabilities).T
+
+
+def test_toxicity_by_brute_force(spark):
+    rng = random.Random(19)
+    texts, labels = [], []
+    for _ in range(400):
+        rude, junk = rng.random() < 0.3, rng.random() < 0.4
+        some = [rng.choice("abcdefghijklmnopqrst") for _ in range(12)]
+        some += [rng.choice(["vile", "É"])] * (rude and rng.random() < 0.9) + ["click"] * (junk and rng.random() < 0.8) + ["vile"] * (rng.random() < 0.03)
+        rng.shuffle(some)
+        texts.append(", ".join(some).upper() if rng.random() < 0.2 else " ".join(some))
+        labels.append((int(junk), int(rude or (junk and rng.random() < 0.2))))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], KIND).repartition(3)
+    marks = spark.createDataFrame([(i, *l) for i, l in enumerate(labels) if i % 4], "doc_id long, junk int, rude int")
+    out = sorted(toxicity.score_chain(docs, toxicity.fit_chain(docs, marks, ("junk", "rude"))).collect(), key=lambda r: r.doc_id)
+    want = brute_chain(texts, labels, [i for i in range(400) if i % 4])
+    assert np.allclose([(r.p_junk, r.p_rude) for r in out], want, atol=1e-4)
+    assert want.std(0).min() > 0.1
+
+
 # ---- 10 ------------------------------------------------------------------------------------------------
 
 
