@@ -124,10 +124,58 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.pareto_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
-
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.pareto_mix(docs, odds=mixing.length_odds(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+#: Targets by dealing again until none is above, level by the odds' sums, ranks and the cut by one sort of each source.
+SQL_OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), n AS (
+  SELECT *, CASE WHEN size < 50 THEN 0.5::DOUBLE WHEN size < 1000 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w,
+    md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS name FROM d
+), z AS (
+  SELECT source, source_size, [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS w
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)
+), r(turn, source, source_size, w, capped) AS (
+  SELECT 0, source, source_size, w, false FROM z
+  UNION ALL
+  SELECT turn + 1, source, source_size, w, capped OR w * (1.5 * sum(source_size) OVER () - sum(CASE WHEN capped THEN 2.0 * source_size ELSE 0 END) OVER ())::DOUBLE
+    > 2.0 * source_size * (sum(CASE WHEN capped THEN 0 ELSE w END) OVER ())::DOUBLE FROM r WHERE turn < 50
+), t AS (
+  SELECT source, source_size, CASE WHEN capped THEN source_size * 2.0::DOUBLE ELSE
+    ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - (sum(CASE WHEN capped THEN 2 * source_size ELSE 0 END) OVER ())::DOUBLE) / (sum(CASE WHEN capped THEN 0 ELSE w END) OVER ())::DOUBLE * w END AS target
+  FROM r WHERE turn = 50
+), s AS (
+  SELECT source, w, sum(size)::DOUBLE AS words FROM n GROUP BY source, w
+), l AS (
+  SELECT s.source, w, (target - 2.0::DOUBLE * coalesce(sum(words) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(words * w) OVER (p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source WINDOW p AS (PARTITION BY s.source ORDER BY w DESC)
+), g AS (
+  SELECT source, max_by(level, w) FILTER (level * w <= 2) AS level FROM l GROUP BY source
+), a AS (
+  SELECT doc_id, n.source, size, name, source_size, target, coalesce(least(2.0::DOUBLE, level * w), 2.0::DOUBLE) AS rate,
+    (('0x' || name[1:13])::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source JOIN g ON n.source IS NOT DISTINCT FROM g.source
+), b AS (
+  SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS p, (u / (1 - u)) * ((1 - (rate - floor(rate))) / nullif(rate - floor(rate), 0)) AS o FROM a
+), c AS (
+  SELECT *, CASE WHEN p > 0 AND size > 0 THEN floor(o / (1 + o) * 1125899906842623::DOUBLE)::BIGINT END AS rank,
+    target - sum(CASE WHEN size > 0 THEN whole * size ELSE 0 END) OVER (PARTITION BY source) AS need FROM b
+), e AS (
+  SELECT source, max({'rank': rank, 'name': name}) AS last FROM (
+    SELECT source, rank, name, need, size, sum(size) OVER (PARTITION BY source ORDER BY rank, name) AS upto
+    FROM (SELECT source, rank, name, any_value(need) AS need, sum(size) AS size FROM c WHERE rank IS NOT NULL GROUP BY source, rank, name)
+  ) WHERE upto - need <= need - (upto - size) AND need > 0 GROUP BY source
+), f AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE whole + coalesce(rank IS NOT NULL AND {'rank': rank, 'name': name} <= last, false)::INT END::BIGINT AS copies
+  FROM c LEFT JOIN e ON c.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM f
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ann, op2_jaccard_join, op3_url_filter, op4_pii, op5_decontamination, op6_ctw_scores, op7_license_scan, op8_language_id, op9_toxicity_chain, op10_pareto_mix)
 }
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": SQL_OP3, "op5_decontamination": SQL_OP5}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": SQL_OP3, "op5_decontamination": SQL_OP5, "op10_pareto_mix": SQL_OP10}

@@ -685,9 +685,29 @@ def test_mixing(spark, odd, none):
     assert mixing.pareto_mix(odd.withColumn("source", F.lit("x"))).count() == len(ODD) and mixing.pareto_mix(none.withColumn("source", F.lit("x"))).count() == 0
 
 
+@pytest.mark.parametrize("ordered", [1, 4096])
+def test_mixing_with_odds(spark, ordered, monkeypatch):
+    """Unequal odds: every target is met to within a document, in one round of bins and in several, and rows without id are told apart."""
+    monkeypatch.setattr(mixing, "ORDERED", ordered)
+    rng = random.Random(20)
+    rows = [(None if i % 5 == 0 else i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.choice([1, 5, 60, 300, 1200]))), rng.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(900)]
+    out = mixing.pareto_mix(spark.createDataFrame(rows, KIND + ", source string"), odds=mixing.length_odds(F.col("text"))).collect()
+    taken, target = Counter(), {}
+    for r in out:
+        assert r.copies in (0, 1, 2) and r.taken == r.copies * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 600 for s in target) and len(target) == 4
+    none = [r.copies for r in out if r.doc_id is None and r.source == "a" and r.size > 100]
+    assert len(set(none)) > 1
+    rate = lambda low, high: (lambda c: sum(c) / len(c))([r.copies for r in out if r.source == "a" and low <= r.size < high])
+    if target["a"] < 2 * sum(r.size for r in out if r.source == "a"):
+        assert rate(0, 50) < rate(50, 1000) < rate(1000, 9999)
+
+
 def test_mixing_prefers_heavy_documents(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), (1 + (F.col("id") % 2) * 3).alias("w"))
-    out = mixing.pareto_mix(df, weights=(1, 1), share=0.5, doc_weight=F.col("w"))
+    out = mixing.pareto_mix(df, weights=(1, 1), share=0.5, odds=F.col("w"))
     share = {r.w: r.c for r in out.where("source = 'b'").groupBy("w").agg(F.avg("copies").alias("c")).collect()}
     assert share[4] > 2.5 * share[1]
 
