@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 #: Words separated by ASCII blanks, and words of ASCII letters, digits and any non-ASCII character.
@@ -81,6 +82,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_rows(frame: DataFrame, function, added: str) -> DataFrame:  # noqa: ANN001
+    """mapInArrow over columns with any names; ``function`` finds them by place and adds those of the schema ``added``."""
+    plain = frame.toDF(*[f"c{i}" for i in range(len(frame.columns))])
+    more = StructType.fromDDL(added).fields
+    return plain.mapInArrow(function, StructType([*plain.schema.fields, *more])).toDF(*frame.columns, *[f.name for f in more])
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of a string column in one array, n + 1 offsets into it, and which rows are null."""
     nulls = np.asarray(column.is_null())

@@ -427,11 +427,12 @@ def _set(raw: bytes, words: int) -> np.ndarray:
 def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, doc_id: str = "doc_id", text: str = "text", keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_copies (rows with the same set) of every row.
 
-    keyed: also text_hash (xxhash64 of the text), which tells rows of one id apart.
+    keyed: also text_hash (xxhash64 of the text), which tells rows of one id apart, and stays: true for one id and text of each
+    component (its smallest id, null last) and for rows without words.
     """
     t = threshold
     rows = saved(described(docs, doc_id, text, words))
-    sets = saved(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.count("*").alias("copies")))
+    sets = saved(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at"), F.count("*").alias("copies")))
     volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     met = saved(candidates(docs, text, words, t, max(8, -(-int(volume) // SHARD_BYTES))))
     release(docs.sparkSession)
@@ -458,12 +459,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
         open_, most = saved(open_.join(_side(cut), "key", "left_semi")), most * 8
         dropped(more)
     comp = state.comp
-    named = sets.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", "copies", F.coalesce("root", "sid").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component"))
-    named = named.join(smallest, "root").select("sid", "component", "copies")
+    named = sets.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", "at", "copies", F.coalesce("root", "sid").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component"), F.min("at").alias("first"))
+    named = named.join(smallest, "root").select("sid", "component", "copies", "first")
     out = rows.select("doc_id", "text_hash", "n", "sid").join(named, "sid", "left")
     whole = F.col("n") > 0
-    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(whole, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(whole, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"), *(["text_hash"] if keyed else []))
+    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(whole, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(whole, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"), *(["text_hash", (~whole | F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").eqNullSafe(F.col("first"))).alias("stays")] if keyed else []))
 
 
 def _side(ids: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import map_rows, small_batches
 
 DIMENSIONS = 1024
 #: Documents, and characters of them, whose n-gram counts stand in memory together.
@@ -172,8 +172,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "t
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
 
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = frame.withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0)).schema
-    return frame.mapInArrow(predict, schema)
+    return map_rows(frame, predict, f"{names[0]} string, {names[1]} double")
 
 
 def language_id(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang", dims: int = DIMENSIONS) -> DataFrame:

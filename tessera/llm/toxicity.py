@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buffers, saved, small_batches, word_table
+from tessera.llm.common import buffers, map_rows, saved, small_batches, word_table
 
 #: Bound of the labelled rows that the chain is fitted on, and the tasks they are dealt to.
 SAMPLE_ROWS, SAMPLE_TASKS, FOLDS = 10_000, 32, 5
@@ -228,7 +228,4 @@ def score_chain(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *p, *is_], names=[*b.schema.names, *names])
 
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = frame
-    for i, n in enumerate(names):
-        schema = schema.withColumn(n, F.lit(0.0 if i < len(chain.models) else True))
-    return frame.mapInArrow(score, schema.schema)
+    return map_rows(frame, score, ", ".join(f"`{n}` {'double' if i < len(chain.models) else 'boolean'}" for i, n in enumerate(names)))

@@ -715,6 +715,34 @@ def test_mixing_prefers_heavy_documents(spark):
 # ---- the whole -----------------------------------------------------------------------------------------
 
 
+def test_duplicates_stage_keeps_one(spark, sf_dir):
+    """Of each group one row stays, whatever its ids: null, repeated on near copies, or whole rows repeated."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(None, " ".join(a)), (None, near(a)), (1, " ".join(b)), (1, near(b)), (1, near(b)), (5, " ".join(c)), (4, near(c)), (None, near(c)), (6, " ".join(d)), (6, " ".join(d)), (7, None), (8, ""), (9, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], KIND + ", `odd.name` int")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    got = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    assert out.columns == docs.columns and [i for i, _ in got] == [0, 1, 4, 6, 7, 8, 9] and got[2][1] == near(c) and got[3][1] == " ".join(d)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.where("false"), sf_dir).count() == 0
+
+
+def test_stages_odd_rows(spark, odd, sf_dir):
+    """Stages keep odd rows and odd column names; the mix takes no empty text."""
+    import corpus_pipeline
+
+    docs = odd.withColumnRenamed("score", "n.chars").withColumn("source", F.lit("x")).withColumn("lang", F.lit("en")).withColumn("target", F.lit(1))
+    for f in (corpus_pipeline.decontaminate, corpus_pipeline.pseudonymise):
+        assert f(spark, docs, sf_dir).columns == docs.columns and f(spark, docs, sf_dir).count() == len(ODD) and f(spark, docs.where("false"), sf_dir).count() == 0
+    assert sorted(corpus_pipeline.identify_language(spark, docs, sf_dir).columns) == sorted(docs.columns)
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    assert all(r.text and r.text.strip() for r in mixed.collect()) and corpus_pipeline.mix_sources(spark, docs.where("false"), sf_dir).count() == 0
+
+
 def test_language_stage_without_languages(spark, odd, sf_dir):
     import corpus_pipeline
 
