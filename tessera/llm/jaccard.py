@@ -53,7 +53,7 @@ EARLIER = 3
 #: Pairs that a component gives in the first round over large groups; eight times as many in each further one.
 NEAREST = 16
 #: Text bytes for each shard of candidate keys, and of a stretch of input in which each set's keys are made once.
-SHARD_BYTES, STRETCH_BYTES = 24 << 20, 8 << 20
+SHARD_BYTES, STRETCH_BYTES = 24 << 20, 4 << 20
 #: Sets and texts are found by a broadcast of their ids only where these are counted to be at most so many.
 BROADCAST_ROWS = 500_000
 U = np.uint64
@@ -92,7 +92,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     stops = np.flatnonzero(ends)
     stop = stops[np.searchsorted(stops, begin, "right")]
     out = np.empty(len(begin), np.uint64)
-    step = 1 << 22  # powers are made for a stretch of bytes at a time, from each stretch's first word
+    step = 1 << 20  # powers are made for a stretch of bytes at a time, from each stretch's first word
     first = 0
     while first < len(begin):
         last = max(first + 1, int(np.searchsorted(begin, begin[first] + step)))
