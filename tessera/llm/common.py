@@ -52,10 +52,21 @@ def with_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
 
 
+#: With this setting a plan's shuffle files are removed when it has run.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and returns it read from there."""
-    with_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` to the shared checkpoint folder and returns it read from there; what was shuffled for it goes at once."""
+    spark = df.sparkSession
+    with_checkpoints(spark)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        own = df.select("*")  # takes the setting as its plan is made, and is run this once
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+    return own.checkpoint(eager=True)
 
 
 def dropped(df: DataFrame) -> None:
