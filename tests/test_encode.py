@@ -111,7 +111,7 @@ def test_entry_errors(spark):
     bad = [*PEOPLE_ROWS, ("3", "No One", "1999/02/30", "M"), ("4", "X", "1999/02/03", "M")]
     with pytest.raises(EntryError) as e:
         generate_clks(bad, schema, "s")
-    assert e.value.row_index == 3 and e.value.field_spec.identifier == "DOB YYYY/MM/DD" and "row 3" in str(e.value)
+    assert e.value.row_index == 3 and e.value.field_spec.identifier == "born" and "row 3" in str(e.value)
     with pytest.raises(EntryError) as e:
         validate_entries(schema.fields, bad, 10)
     assert e.value.row_index == 13
@@ -122,7 +122,7 @@ def test_entry_errors(spark):
         generate_clks([*PEOPLE_ROWS, ("3", "x")], schema, "s")
     assert e.value.row_index == 3
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(bad)], "row_id long, a string, b string, c string, d string")
-    assert {r.row_id: r.column for r in invalid_entries(df, schema).collect()} == {3: "DOB YYYY/MM/DD", 4: "NAME freetext"}
+    assert {r.row_id: r.column for r in invalid_entries(df, schema).collect()} == {3: "born", 4: "full name"}
     marked = {r.row_id: r for r in encode(df, schema, "s", errors="column").collect()}
     assert marked[3].clk is None and "row 3" in marked[3].error and marked[0].error is None
     with pytest.raises(FormatError):
@@ -152,7 +152,7 @@ def test_row_ids(spark):
 def test_header():
     schema = from_json_dict(people())
     validate_header(schema.fields, PEOPLE_HEADER.split(","))
-    for bad in (["a"], ["INDEX", "NAME freetext", "GENDER M or F", "DOB YYYY/MM/DD"]):
+    for bad in (["a"], ["row", "full name", "sex", "born"]):
         with pytest.raises(FormatError):
             validate_header(schema.fields, bad)
 
@@ -165,8 +165,8 @@ def lines(rows):
     "name,content,outcomes",
     [
         ("good", [PEOPLE_HEADER, *lines(PEOPLE_ROWS)], (3, 3, EntryError)),
-        ("name", [PEOPLE_HEADER.replace("NAME", "name"), *lines(PEOPLE_ROWS)], (FormatError, 3, EntryError)),
-        ("count", ["INDEX,NAME freetext,DOB YYYY/MM/DD", *lines(PEOPLE_ROWS)], (FormatError, 3, FormatError)),
+        ("name", [PEOPLE_HEADER.replace("full", "whole"), *lines(PEOPLE_ROWS)], (FormatError, 3, EntryError)),
+        ("count", ["row,full name,born", *lines(PEOPLE_ROWS)], (FormatError, 3, FormatError)),
         ("none", lines(PEOPLE_ROWS), (FormatError, 2, 3)),
     ],
 )
