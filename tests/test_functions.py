@@ -48,7 +48,7 @@ def test_numeric():
     assert NumericComparison(8, 2).tokenize("") == []
     assert NumericComparison(1, 1).tokenize("-1.9") == NumericComparison(1, 1).tokenize("-1")
     assert NumericComparison(7, 1).tokenize(str(10**60))
-    for bad, text in (((0, 1), "threhold_distance"), ((1, 0), "resolution"), ((1, 1, -1), "fractional_precision"), ((0.001, 1, 1), "is 0 at a precision")):
+    for bad, text in (((0, 1), "threhold_distance"), ((1, 0), "resolution"), ((1, 1, -1), "fractional_precision"), ((0.001, 1, 1), "not enough fractional precision")):
         with pytest.raises(ValueError, match=text):
             NumericComparison(*bad)
 
