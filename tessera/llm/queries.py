@@ -28,6 +28,33 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Counts common shingles of one text of each set, and follows links by recursion.
+SQL_OP2 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT r, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT r, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY r
+), c AS (
+  SELECT h, count(*) AS copies, min(r) AS r FROM n GROUP BY h
+), x AS (
+  SELECT r, g, n FROM s JOIN n USING (r) WHERE r IN (SELECT r FROM c)
+), l AS (
+  SELECT a.r AS a, b.r AS b FROM x a JOIN x b ON a.g = b.g AND a.r <> b.r AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), t(a, b) AS (
+  SELECT r, r FROM c UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a
+), f AS (
+  SELECT h, min(doc_id) AS doc_id FROM n JOIN d USING (r) GROUP BY h
+), m AS (
+  SELECT t.a AS r, min(f.doc_id) AS component FROM t JOIN c ON c.r = t.b JOIN f USING (h) GROUP BY t.a
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE m.component END AS component_id, coalesce(c.copies, 1)::BIGINT AS n_copies
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN c ON c.h = n.h LEFT JOIN m ON m.r = c.r
+"""
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -178,4 +205,4 @@ SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM f
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ann, op2_jaccard_join, op3_url_filter, op4_pii, op5_decontamination, op6_ctw_scores, op7_license_scan, op8_language_id, op9_toxicity_chain, op10_pareto_mix)
 }
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": SQL_OP3, "op5_decontamination": SQL_OP5, "op10_pareto_mix": SQL_OP10}
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": SQL_OP2, "op3_url_filter": SQL_OP3, "op5_decontamination": SQL_OP5, "op10_pareto_mix": SQL_OP10}
