@@ -13,6 +13,7 @@ their result. Documents are handled one by one in Arrow batches; a long text cos
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -153,29 +154,49 @@ def _engine():
     return gate, compiled
 
 
+def unsuppressed(found: list[Detection]) -> list[Detection]:
+    """By priority, length, place and rule; without those whose words lie within one kept before.
+
+    The farthest end of those kept that start at or before a place is found in a tree of prefix maxima, so a text full of licenses
+    takes n log n steps.
+    """
+    starts = sorted({d.start for d in found})
+    farthest = [0] * (len(starts) + 1)
+    kept: list[Detection] = []
+    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.order)):
+        place = i = bisect_right(starts, d.start)
+        end = 0
+        while i:
+            end = max(end, farthest[i])
+            i &= i - 1
+        if end < d.end:
+            kept.append(d)
+            while place < len(farthest):
+                farthest[place] = max(farthest[place], d.end)
+                place += place & -place
+    return kept
+
+
 def detect(words: str) -> list[Detection]:
     """Detections kept in a word sequence joined by blanks; start and end count words."""
     gate, compiled = _engine()
     found = []
+    blanks = [m.start() for m in re.finditer(" ", words)]
     for i in sorted({i for _, of in gate.iter(words) for i in of}):
         for m in compiled[i].finditer(words):
-            start = words.count(" ", 0, m.start())
+            start = bisect_right(blanks, m.start())
             found.append(Detection(rules()[i].label, rules()[i].priority, start, start + m[0].count(" ") + 1, i))
-    found.sort(key=lambda d: (-d.priority, d.start - d.end, d.start, d.order))
-    kept: list[Detection] = []
-    for d in found:
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
-            kept.append(d)
-    return kept
+    return unsuppressed(found)
 
 
 def base_places(words: str) -> list[tuple[int, str]]:
     """(first word, label) of every place where a base phrase stands."""
     text, out = f" {words} ", []
+    blanks = [m.start() for m in re.finditer(" ", text)]
     for phrase, label in BASE:
         at = text.find(f" {phrase} ")
         while at >= 0:
-            out.append((text.count(" ", 0, at), label))
+            out.append((bisect_left(blanks, at), label))
             at = text.find(f" {phrase} ", at + 1)
     return sorted(out)
 

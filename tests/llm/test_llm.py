@@ -514,12 +514,40 @@ def test_license_base(spark, odd, none):
     assert license.license_scan(odd).count() == len(ODD) and license.license_scan(none).count() == 0
 
 
-def test_license_suppression():
-    assert len(license.rules()) > 300
+def brute_detect(words):
+    """Every rule over the whole text, without gates, and each detection against all kept before it."""
+    found = []
+    for i, r in enumerate(license.rules()):
+        for m in re.finditer(rf"(?<![^ ])(?:{r.pattern})(?![^ ])", words):
+            start = len(words[: m.start()].split())
+            found.append(license.Detection(r.label, r.priority, start, start + len(m[0].split()), i))
+    kept = []
+    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.order)):
+        if not any(k.start <= d.start and d.end <= k.end for k in kept):
+            kept.append(d)
+    return kept
+
+
+def test_license_detections_by_brute_force():
     kept = license.detect("under the gnu lesser general public license version 2 1 or later")
-    assert {d.label for d in kept} == {"lgpl-2.1-or-later"} or "gpl" not in {d.label for d in kept}
-    for a in kept:
-        assert not any(b is not a and b.start <= a.start and a.end <= b.end for b in kept)
+    assert [(d.label, d.start, d.end) for d in kept] == [("lgpl-2.1-or-later", 2, 12)]
+    rng = random.Random(23)
+    pieces = [s for r in license.rules()[::3] for s in samples(re._parser.parse(r.pattern))[:3]]
+    for _ in range(60):
+        text = " ".join(rng.choice([rng.choice(pieces), "some", "other words", "of the", "or later"]) for _ in range(rng.randint(1, 40)))
+        words = " ".join(plain_words(text))
+        assert license.detect(words) == brute_detect(words)
+
+
+def test_license_suppression_of_many():
+    rng = random.Random(24)
+    for _ in range(200):
+        found = [license.Detection(str(i), rng.choice([10, 50, 60]), at := rng.randrange(30), at + rng.randint(1, 12), i) for i in range(rng.randint(0, 40))]
+        want = []
+        for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.order)):
+            if not any(k.start <= d.start and d.end <= k.end for k in want):
+                want.append(d)
+        assert license.unsuppressed(found) == want
 
 
 def samples(parsed):
