@@ -14,34 +14,41 @@ itself. Each block's grams and words are then answered by the shards and joined
 one entry for each distinct gram or word of a block, packed; how much there is grows with the corpus.
 
 Defined results. Null texts count as empty: one token, the end. Repeated rows are learned from and scored
-each. Without learning texts every decision has probability 1/2. An empty table gives an empty result. Of a
-very long text only the bytes themselves are held; grams are counted in slices.
+each. Without learning texts every decision has probability 1/2. An empty table gives an empty result. Texts
+come in small batches, and grams are counted in slices of them, also within a very long text; of a block a task
+holds its distinct grams and words, and when it scores its texts once more. Words stay in Arrow's memory.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby, tee
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, saved
+from tessera.llm.common import LOWER, UPPER, fresh, saved, small_batches
 
 DEPTH = 5
 END = 0x0A
 BLOCK_BYTES = 24 << 20
 #: Bytes of text whose grams are counted at a time; they take some thirty times their size.
 SLICE_BYTES = 2 << 20
+#: Symbols whose contexts are put together at a time.
+STRETCH = 1 << 16
 MAX_SHARDS = 512
 #: Blocks whose counts are merged in one task before shards are put together.
 MERGED = 64
+#: So many entries at least wait until they are merged into a block's counts.
+WAITING = 1 << 19
 
 Counts = tuple[np.ndarray, np.ndarray]
 
@@ -49,34 +56,65 @@ Counts = tuple[np.ndarray, np.ndarray]
 # ---- grams ---------------------------------------------------------------------------------------------
 
 
+_PLAIN = bytes.maketrans(b"\t\n\v\f\r" + UPPER.encode(), b"     " + LOWER.encode())
+
+
 def body(text: bytes | None) -> bytes:
-    return b" ".join((text or b"").lower().split())
+    plain = (text or b"").translate(_PLAIN)
+    while b"  " in plain:
+        plain = plain.replace(b"  ", b" ")
+    return plain.strip(b" ")
+
+
+def _keys(padded: bytes, at: np.ndarray | None = None) -> np.ndarray:
+    """Symbols that have a whole context before them, each with it; of all, or those marked by ``at``. Worked out in short stretches."""
+    raw = np.frombuffer(padded, np.uint8)
+    n = len(raw) - DEPTH
+    out, done = np.empty(n if at is None else np.count_nonzero(at), np.uint64), 0
+    for start in range(0, n, STRETCH):
+        stop = min(start + STRETCH, n)
+        key = raw[start + DEPTH : stop + DEPTH].astype(np.uint64)
+        for back in range(1, DEPTH + 1):
+            key |= raw[start + DEPTH - back : stop + DEPTH - back].astype(np.uint64) << np.uint64(8 * (DEPTH - back + 1))
+        key = key if at is None else key[at[start:stop]]
+        out[done : done + len(key)] = key
+        done += len(key)
+    return out
 
 
 def grams(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Every symbol with its context, nearest byte first, as whole numbers; and how many each text has (its bytes and the end)."""
     pad = bytes([END]) * DEPTH
     sizes = np.array([len(b) + 1 for b in bodies], np.int64)
-    raw = np.frombuffer(pad + (bytes([END]) + pad).join(bodies) + bytes([END]), np.uint8).astype(np.uint64)
-    n = len(raw) - DEPTH
-    key = raw[DEPTH:].copy()
-    for back in range(1, DEPTH + 1):
-        key |= raw[DEPTH - back : DEPTH - back + n] << np.uint64(8 * (DEPTH - back + 1))
-    first = np.cumsum(sizes + DEPTH) - sizes - DEPTH
+    padded = pad + (bytes([END]) + pad).join(bodies) + bytes([END])
     if len(bodies) == 1:
-        return key, sizes
-    at = np.ones(n, bool)
+        return _keys(padded), sizes
+    first = np.cumsum(sizes + DEPTH) - sizes - DEPTH
+    at = np.ones(len(padded) - DEPTH, bool)
     for start in first[1:]:
         at[start - DEPTH : start] = False
-    return key[at], sizes
+    return _keys(padded, at), sizes
+
+
+def gram_slices(bodies: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """``grams`` of the texts; one longer than a slice comes in parts, and from its second on they say that they go on with it."""
+    for long, some in groupby(bodies, lambda b: len(b) > SLICE_BYTES):
+        if not long:
+            yield (*grams(list(some)), False)
+            continue
+        for b in some:
+            padded = bytes([END]) * DEPTH + b + bytes([END])
+            for start in range(0, len(b) + 1, SLICE_BYTES):
+                key = _keys(padded[start : start + SLICE_BYTES + DEPTH])
+                yield key, np.array([len(key)], np.int64), start > 0
 
 
 def runs(key: np.ndarray, weight: np.ndarray | None = None) -> Counts:
-    """Distinct keys in order and the sums of their weights (1 by default)."""
+    """Distinct keys in order and the sums of their weights (1 by default); without weights the keys given are sorted where they lie."""
     if not len(key):
         return key.astype(np.uint64), np.zeros(0, np.int64)
     if weight is None:
-        key = np.sort(key)
+        key.sort()
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         return key[start], np.diff(np.append(start, len(key)))
     order = np.argsort(key)
@@ -92,11 +130,28 @@ def merged(parts: Iterable[Counts]) -> Counts:
     return runs(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
 
 
-def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
+class Tally:
+    """Sums of entries that come in parts; they are merged when half as many wait as there are, and ``WAITING`` at least."""
+
+    def __init__(self, merge: Any, none: Any) -> None:
+        self.merge, self.parts, self.waiting = merge, [(none, np.zeros(0, np.int64))], 0
+
+    def add(self, keys: Any, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.waiting += len(counts)
+        if self.waiting > max(WAITING, len(self.parts[0][1]) // 2):
+            self.total()
+
+    def total(self) -> tuple[Any, np.ndarray]:
+        self.parts, self.waiting = [self.merge(self.parts)], 0
+        return self.parts[0]
+
+
+def slices(texts: Iterable[tuple[bytes, bool]]) -> Iterator[list[tuple[bytes, bool]]]:
     some, size = [], 0
     for t in texts:
         some.append(t)
-        size += len(t)
+        size += len(t[0])
         if size >= SLICE_BYTES:
             yield some
             some, size = [], 0
@@ -104,6 +159,40 @@ def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield some
 
 
+# ---- words ---------------------------------------------------------------------------------------------
+
+WORD = pa.large_binary()
+
+
+def words_of(bodies: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of the texts in their order, and how many each text has."""
+    raw = np.frombuffer(b" ".join(filter(None, bodies)), np.uint8)
+    blank = raw == 0x20
+    sizes = np.array([b.count(b" ") + 1 if b else 0 for b in bodies], np.int64)
+    if not len(raw):
+        return pa.array([], WORD), sizes
+    ends = np.append(np.flatnonzero(blank), len(raw))
+    at = np.concatenate([[0], ends - np.arange(len(ends))])
+    return pa.Array.from_buffers(WORD, len(ends), [None, pa.py_buffer(at), pa.py_buffer(raw[~blank])]), sizes
+
+
+def word_runs(words: pa.Array, weight: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words and the sums of their weights (1 by default)."""
+    coded = words.dictionary_encode()
+    return coded.dictionary, np.bincount(coded.indices.to_numpy(), weight, len(coded.dictionary)).astype(np.int64)
+
+
+def merged_words(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    return word_runs(pa.concat_arrays([w for w, _ in parts]), np.concatenate([n for _, n in parts]))
+
+
+def word_shard(words: pa.Array, n: int) -> np.ndarray:
+    out = np.empty(len(words), np.int64)
+    for at in range(0, len(words), 1 << 15):
+        out[at : at + (1 << 15)] = [zlib.crc32(w) % n for w in words[at : at + (1 << 15)].to_pylist()]
+    return out
+
+
 def gram_shard(key: np.ndarray, n: int) -> np.ndarray:
     """By the two nearest bytes: all deeper nodes of a context tree lie in one shard."""
     return ((key >> np.uint64(8 * (DEPTH - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(n)
@@ -231,38 +320,78 @@ def code(key: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
 # ---- the jobs ------------------------------------------------------------------------------------------
 
 PACKED = "kind int, shard int, block int, keys binary, counts binary"
+PACKED_TYPES = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _state(block: int, texts: list[bytes | None], learn: list[bool], shards: int) -> pd.DataFrame:
+def _state(block: int, texts: Iterable[bytes | None], learn: Iterable[bool], shards: int) -> pa.Table:
     """A block's distinct grams (kind 0) and words (kind 1) by shard, with their counts in learning texts."""
-    bodies = [body(t) for t in texts]
-    parts: list[Counts] = []
-    for used in (True, False):
-        for some in slices([b for b, l in zip(bodies, learn, strict=True) if l == used]):
-            key, n = runs(grams(some)[0])
-            parts.append((key, n if used else np.zeros(len(n), np.int64)))
-    key, n = merged(parts)
-    shard = gram_shard(key, shards)
+    every, spoken = Tally(merged, np.zeros(0, np.uint64)), Tally(merged_words, pa.array([], WORD))
+    for some in slices((body(t), l) for t, l in zip(texts, learn, strict=True)):
+        for used in (True, False):
+            own = [b for b, l in some if l == used]
+            for key, _, _ in gram_slices(own):
+                key, n = runs(key)
+                every.add(key, n if used else np.zeros(len(n), np.int64))
+            words, n = word_runs(words_of(own)[0])
+            spoken.add(words, n if used else np.zeros(len(n), np.int64))
     rows = []
+    key, n = every.total()
+    shard = gram_shard(key, shards)
     for s in np.unique(shard):
         of = shard == s
         rows.append((0, int(s), block, pack(key[of], True), pack(n[of])))
-    words: Counter[bytes] = Counter()
-    for b, used in zip(bodies, learn, strict=True):
-        if used:
-            words.update(b.split(b" ") if b else ())
-    for b, used in zip(bodies, learn, strict=True):
-        if not used and b:
-            for w in b.split(b" "):
-                if w not in words:
-                    words[w] = 0
-    by_shard: dict[int, list[bytes]] = {}
-    for w in words:
-        by_shard.setdefault(zlib.crc32(w) % shards, []).append(w)
-    for s, some in by_shard.items():
-        some.sort()
-        rows.append((1, s, block, pack_words(some), pack(np.array([words[w] for w in some], np.int64))))
-    return pd.DataFrame(rows, columns=["kind", "shard", "block", "keys", "counts"])
+    words, n = spoken.total()
+    order = pc.array_sort_indices(words)
+    words, n = words.take(order), n[order.to_numpy()]
+    shard = word_shard(words, shards)
+    for s in np.unique(shard):
+        of = np.flatnonzero(shard == s)
+        rows.append((1, int(s), block, pack_words(words.take(pa.array(of)).to_pylist()), pack(n[of])))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PACKED_TYPES.types, strict=True)], schema=PACKED_TYPES)
+
+
+def _scores(texts: Iterable[bytes | None], answers: pa.Table) -> pd.DataFrame:
+    """For each text its words, those known, the sum of their logarithms, the model's score and its symbols (bytes and end)."""
+    keys, values = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    words, logs = [pa.array([], WORD)], [np.zeros(0)]
+    for kind, k, c in zip(*(answers[x] for x in ("kind", "keys", "counts")), strict=True):
+        k, c = k.as_py(), c.as_py()
+        if kind.as_py() == 0:
+            keys.append(unpack(k, np.uint64, True))
+            values.append(unpack(c, np.float64))
+        else:
+            words.append(pa.array(unpack_words(k), WORD))
+            logs.append(np.log10(unpack(c, np.int64) + 0.5))
+    key, value = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    spoken, log = pa.concat_arrays(words), np.concatenate(logs)
+    del keys, values, words, logs, order
+    unseen = np.log10(np.zeros(1) + 0.5)[0]
+    out: list[tuple[int, int, float, float, int]] = []
+    for some in slices((body(t), True) for t in texts):
+        bodies = [b for b, _ in some]
+        own, counts = words_of(bodies)
+        found = log[pc.index_in(own, value_set=spoken).to_numpy()]
+        scores: list[float] = []
+        for ranked, sizes, goes_on in gram_slices(bodies):
+            order = np.argsort(ranked)
+            ranked = ranked[order]
+            start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            ranked = ranked[start]
+            each = np.empty(len(order))
+            each[order] = np.repeat(value[np.searchsorted(key, ranked)], np.diff(np.append(start, len(order))))
+            sums = np.add.reduceat(each, np.cumsum(sizes) - sizes).tolist()
+            if goes_on:
+                scores[-1] += sums[0]
+            else:
+                scores += sums
+        at = 0
+        for b, n, score in zip(bodies, counts.tolist(), scores, strict=True):
+            of = found[at : at + n]
+            out.append((n, n - int(np.count_nonzero(of == unseen)), math.fsum(of.tolist()), score, len(b) + 1))
+            at += n
+    return pd.DataFrame(out, columns=["words", "known", "base", "score", "symbols"])
 
 
 def _merge(kind: int, keys: Iterable[bytes], counts: Iterable[bytes]) -> tuple[bytes, bytes, int, int]:
@@ -286,6 +415,7 @@ def ctw_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     Learns from rows that are not held out. score is log10 of the model's probability; bits_per_byte its code length.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
     blocks = max(1, -(-int(size[0] or 0) // BLOCK_BYTES), -(-size[1] // 50_000))
     shards = min(MAX_SHARDS, 2 * blocks)
@@ -295,10 +425,11 @@ def ctw_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
         F.col(doc_id), held_out.alias(named["_held"]), F.coalesce(F.col(text), F.lit("")).cast("binary").alias(named["_body"]),
     ).toDF("block", "id", "held", "body")
 
-    def state(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _state(int(key[0]), rows["body"].tolist(), (~rows["held"].to_numpy(bool)).tolist(), shards)
+    def state(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, held = tee((t.as_py(), h.as_py()) for batch in batches for t, h in zip(batch["body"], batch["held"], strict=True))
+        yield from _state(key[0].as_py(), (t for t, _ in texts), (not h for _, h in held), shards).to_batches()
 
-    stated = saved(dealt.select("block", "held", "body").groupBy("block").applyInPandas(state, PACKED))
+    stated = saved(dealt.select("block", "held", "body").groupBy("block").applyInArrow(state, PACKED))
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         k, c, types, total = _merge(int(key[0]), rows["keys"], rows["counts"])
@@ -354,41 +485,18 @@ def ctw_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     by = ["kind", "shard", "salt"]
     answered = asked.groupBy(by).cogroup(known.groupBy(by)).applyInPandas(answer, "kind int, block int, keys binary, counts binary")
     less = math.log10(n_all + 0.5 * (n_types + 1))
-    unseen = math.log10(0.5)
-
-    def score(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        keys, values = [np.zeros(0, np.uint64)], [np.zeros(0)]
-        logs: dict[bytes, float] = {}
-        for kind, k, c in zip(answers["kind"], answers["keys"], answers["counts"], strict=True):
-            if kind == 0:
-                keys.append(unpack(k, np.uint64, True))
-                values.append(unpack(c, np.float64))
-            else:
-                logs.update(zip(unpack_words(k), np.log10(unpack(c, np.int64) + 0.5).tolist(), strict=True))
-        key, value = np.concatenate(keys), np.concatenate(values)
-        order = np.argsort(key)
-        key, value = key[order], value[order]
-        bodies = [body(t) for t in rows["body"]]
-        scores: list[np.ndarray] = []
-        for some in slices(bodies):
-            own, sizes = grams(some)
-            order = np.argsort(own)
-            ranked = own[order]
-            start = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-            each = np.empty(len(own))
-            each[order] = value[np.searchsorted(key, ranked[start])][np.cumsum(start) - 1]
-            scores.append(np.add.reduceat(each, np.cumsum(sizes) - sizes))
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         end = math.log10(learned + 0.5)
-        tokens, seen, base = [], [], []
-        for b in bodies:
-            found = [logs[w] for w in b.split(b" ")] if b else []
-            tokens.append(len(found) + 1)
-            seen.append(len(found) - found.count(unseen) + (learned > 0))
-            base.append(math.fsum(found) + end - (len(found) + 1) * less)
-        total = np.concatenate(scores) if scores else np.zeros(0)
-        n_bytes = np.array([len(b) + 1 for b in bodies], np.int64)
-        return pd.DataFrame({"id": rows["id"], "held_out": rows["held"], "n_tokens": tokens, "n_known": seen, "train_tokens": n_all, "base_score": base, "score": total, "n_bytes": n_bytes, "bits_per_byte": -total / math.log10(2) / n_bytes})
+        of = _scores((t.as_py() for t in rows["body"]), answers)
+        tokens = of["words"].to_numpy() + 1
+        n_bytes, total = of["symbols"].to_numpy(), of["score"].to_numpy()
+        columns = {
+            "id": rows["id"], "held_out": rows["held"], "n_tokens": tokens, "n_known": of["known"].to_numpy() + (learned > 0), "train_tokens": np.full(len(of), n_all),
+            "base_score": of["base"].to_numpy() + end - tokens * less, "score": total, "n_bytes": n_bytes, "bits_per_byte": -total / math.log10(2) / n_bytes,
+        }
+        return pa.table(columns)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(score, schema).withColumnRenamed("id", doc_id)
+    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, schema).withColumnRenamed("id", doc_id)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -483,6 +484,77 @@ def test_ctw_odd(odd, none):
     assert ctw.ctw_scores(none, F.lit(True)).count() == 0
 
 
+POOLS = []
+
+
+def peak_mb(function):
+    """What a call takes at most beside what there was, of Python's, numpy's and Arrow's memory."""
+    before, own = pa.default_memory_pool(), pa.proxy_memory_pool(pa.system_memory_pool())
+    POOLS.append(own)  # what the call returns lies in it
+    pa.set_memory_pool(own)
+    tracemalloc.start()
+    try:
+        result = function()
+        return result, (tracemalloc.get_traced_memory()[1] + own.max_memory()) / 1e6
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(before)
+
+
+def numbered_words(n, distinct):
+    return b" ".join(b"w%d" % i for i in np.random.default_rng(6).integers(0, distinct, n).tolist())
+
+
+def answers_of(stated):
+    """Answers to a block's state with any value for each gram."""
+    rng = np.random.default_rng(7)
+    rows = [(r["kind"], r["keys"], ctw.pack(-rng.random(len(ctw.unpack(r["counts"], np.int64)))) if r["kind"] == 0 else r["counts"]) for r in stated.to_pylist()]
+    return pa.table({"kind": [r[0] for r in rows], "keys": [r[1] for r in rows], "counts": [r[2] for r in rows]})
+
+
+def test_ctw_memory_of_a_block():
+    """10 MB of many texts, and of a single one: neither all gram places nor all words as objects are held at once."""
+    words = numbered_words(1_500_000, 50_000).split(b" ")
+    texts = [b" ".join(words[i : i + 400]) for i in range(0, len(words), 400)]
+    _, mb = peak_mb(lambda: ctw._state(0, texts, [True] * len(texts), 8))
+    assert mb < 60, mb
+    long = [b" ".join(texts)]
+    stated, mb = peak_mb(lambda: ctw._state(0, long, [True], 8))
+    assert mb < 150, mb
+    answers = answers_of(stated)
+    scored, mb = peak_mb(lambda: ctw._scores(long, answers))
+    assert mb < 180 and scored["words"].tolist() == [len(words)], mb
+
+
+def test_ctw_slices(monkeypatch):
+    """States and scores do not depend on where texts are cut."""
+    texts = [b"The cat sat", None, b"", b"a", b"on  the\tmat and on the other mat, too " * 9, b"x" * 70, b"the end"]
+    learn = [True, False, True, True, True, False, False]
+    outs = []
+    for size in (1 << 20, 7, 64):
+        monkeypatch.setattr(ctw, "SLICE_BYTES", size)
+        monkeypatch.setattr(ctw, "WAITING", size)
+        stated = ctw._state(3, texts, learn, 4)
+        outs.append((stated, ctw._scores(texts, answers_of(stated))))
+    for stated, scored in outs[1:]:
+        assert stated.equals(outs[0][0]) and scored.drop(columns="score").equals(outs[0][1].drop(columns="score"))
+        assert np.allclose(scored["score"], outs[0][1]["score"], rtol=1e-12, atol=0)
+    answers = answers_of(outs[0][0]).to_pylist()
+    value = {k: v for r in answers if r["kind"] == 0 for k, v in zip(ctw.unpack(r["keys"], np.uint64, True).tolist(), ctw.unpack(r["counts"], np.float64).tolist(), strict=True)}
+    for t, score in zip(texts, outs[0][1]["score"], strict=True):
+        assert math.isclose(score, sum(value[k] for k in ctw.grams([ctw.body(t)])[0].tolist()), rel_tol=1e-12)
+    seen = Counter(w for t, use in zip(texts, learn, strict=True) if use for w in blank_words((t or b"").decode()))
+    stated = {w.decode(): n for r in outs[0][0].to_pylist() if r["kind"] == 1 for w, n in zip(ctw.unpack_words(r["keys"]), ctw.unpack(r["counts"], np.int64).tolist(), strict=True)}
+    assert stated == {w: seen[w] for t in texts for w in blank_words((t or b"").decode())}
+
+
+def test_ctw_ids_stay_whole(spark):
+    """An id that a double can't hold, in one block with a null id."""
+    big = 2**60 + 1
+    out = ctw.ctw_scores(spark.createDataFrame([(big, "a"), (None, "b"), (big + 1, "c")], KIND), F.lit(False)).collect()
+    assert {r.doc_id for r in out} == {big, None, big + 1}
+
+
 def test_ctw_probabilities_add_up():
     key, n = ctw.runs(ctw.grams([b"abracadabra", b"abc"])[0])
     two = ctw.deep_levels(key, n)
