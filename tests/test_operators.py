@@ -167,3 +167,26 @@ def test_chunk_numbers(spark):
     assert [r.row_id for r in order.in_row_order(df.repartition(3)).collect()] == list(range(25))
     with pytest.raises(ValueError):
         order.numbered_chunks(df, 0)
+
+
+def test_dice_join_stores_no_more_for_more_blocks(spark, monkeypatch):
+    """Copies of an encoding are compared once, also where its ids are cut into pieces; null ids stay; nothing is shuffled for pairs of blocks."""
+    monkeypatch.setattr(match, "IDS", 7)
+    monkeypatch.setattr(match, "ENTRIES", 50)
+    rng = random.Random(4)
+    kinds = [rng.getrandbits(64) for _ in range(3)]
+    rows = [(None if i == 5 else i, Bits.of(kinds[i * i % 3], 64).data) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, clk binary")
+    found = match.dice_join(df, df, 1.0, blocks=5, digits=9)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    key = lambda pair: tuple(-1 if x is None else x for x in pair)
+    assert sorted(key(r[:2]) for r in found.collect()) == sorted(key((i, j)) for i, a in rows for j, b in rows if a == b)
+
+
+def test_dice_is_rounded_half_up(spark):
+    """As Spark rounds, also where a five is the last digit."""
+    n = 1024
+    whole, part = Bits.of((1 << n) - 1, n).data, [Bits.of((1 << k) - 1, n).data for k in (867, 869, 871, 1023)]
+    left, right = spark.createDataFrame([(0, whole)], "row_id long, clk binary"), spark.createDataFrame(list(enumerate(part)), "row_id long, clk binary")
+    exact = match.dice_join(left, right, 0.1).select("right_id", F.round("dice", 9).alias("dice")).collect()
+    assert sorted(exact) == sorted(match.dice_join(left, right, 0.1, digits=9).select("right_id", "dice").collect()) and len(exact) == 4
