@@ -190,3 +190,19 @@ def test_dice_is_rounded_half_up(spark):
     left, right = spark.createDataFrame([(0, whole)], "row_id long, clk binary"), spark.createDataFrame(list(enumerate(part)), "row_id long, clk binary")
     exact = match.dice_join(left, right, 0.1).select("right_id", F.round("dice", 9).alias("dice")).collect()
     assert sorted(exact) == sorted(match.dice_join(left, right, 0.1, digits=9).select("right_id", "dice").collect()) and len(exact) == 4
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_dice_quality_makes_no_pairs(spark, monkeypatch, repeated):
+    """The same as precision and recall of the pairs; where no id is repeated or null, pairs are not made."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(128) for _ in range(5)] + [0]
+    a, b = vectors(spark, 6, 50, base)[0], vectors(spark, 7, 60, base)[0]
+    if repeated:
+        a, b = [(i % 40 or None, x) for i, x in a], [(i % 45, x) for i, x in b]
+    left, right = (spark.createDataFrame(x, "row_id long, clk binary") for x in (a, b))
+    truth = spark.createDataFrame([(i, i) for i in range(70)] + [(3, 4), (3, 4)], "left_id long, right_id long")
+    want = match.precision_recall(match.dice_join(left, right, 0.8), truth).first()
+    if not repeated:
+        monkeypatch.setattr(match, "dice_join", None)
+    assert match.dice_quality(left, right, 0.8, truth).first() == want and want.tp and want.fp and want.fn
