@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -71,17 +72,51 @@ def fold_positions(positions: Column, length: int, folds: int) -> Column:
     return F.filter(F.array_distinct(residues), lambda r: F.size(F.filter(residues, lambda x: x == r)) % 2 == 1)
 
 
-def pack_positions(positions: Column, length: int, xor: bool = False) -> Column:
-    """Positions to binary. They must be distinct; with ``xor`` they may repeat, and those met an even number of times vanish."""
-    def word(g: Column) -> Column:
-        bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (63 - p % 64).cast("int"))
-        return F.aggregate(positions, F.lit(0).cast("long"), lambda acc, p: F.when(F.floor(p / 64) != g, acc).otherwise(acc.bitwiseXOR(bit(p)) if xor else acc.bitwiseOR(bit(p))))
+def _bit_text(positions: Column, length: int) -> Column:
+    """Distinct positions as a text of 0 and 1, in one pass over them in order."""
+    gap = lambda s, p, i: F.repeat(F.lit("0"), (p - F.coalesce(F.get(s, i - 1), F.lit(-1)) - 1).cast("int"))
+    text = lambda s: F.array_join(F.transform(s, lambda p, i: F.concat(gap(s, p, i), F.lit("1"))), "")
+    # the sorted array is computed once and then used by every position
+    return F.rpad(F.element_at(F.transform(F.array(F.sort_array(positions)), text), 1), length, "0")
+
+
+def _odd(positions: Column) -> Column:
+    """The positions met an odd number of times, once each."""
+    last = lambda s, p, i: ~F.get(s, i + 1).eqNullSafe(p)
+    kept = lambda s: F.filter(s, lambda p, i: last(s, p, i) & ((i + 2 - F.array_position(s, p)) % 2 == 1))
+    return F.element_at(F.transform(F.array(F.sort_array(positions)), kept), 1)
+
+
+def words_of(positions: Column, length: int, folds: int = 0) -> Column:
+    """array<long> of the filter's 64-bit words, the last one filled up with 0; ``length`` is the length before folding, positions are distinct."""
+    if length % (1 << folds):
+        raise ValueError(f"a filter of {length} bits cannot be folded {folds} times")
+    small = length >> folds
+
+    def word(text: Column, at: int) -> Column:
+        n = min(64, small - at)
+        each = [F.conv(F.rpad(F.substring(text, f * small + at + 1, n), 64, "0"), 2, -10).cast("long") for f in range(1 << folds)]
+        return reduce(lambda x, y: x.bitwiseXOR(y), each)
 
-    words = F.transform(F.sequence(F.lit(0), F.lit(-(-length // 64) - 1)), lambda g: F.lpad(F.hex(word(g)), 16, "0"))
-    whole = F.unhex(F.array_join(words, ""))
+    text = F.array(_bit_text(positions, length))
+    return F.element_at(F.transform(text, lambda t: F.array(*[word(t, at) for at in range(0, small, 64)])), 1)
+
+
+def pack_words(words: Column, length: int) -> Column:
+    """The words of a filter of ``length`` bits to binary."""
+    whole = F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(w), 16, "0")), ""))
     return whole if length % 64 == 0 else F.substring(whole, 1, -(-length // 8))
 
 
+def count_words(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
+
+
+def pack_positions(positions: Column, length: int, xor: bool = False) -> Column:
+    """Positions to binary. They must be distinct; with ``xor`` they may repeat, and those met an even number of times vanish."""
+    return pack_words(words_of(_odd(positions) if xor else positions, length), length)
+
+
 def popcount(data: Column) -> Column:
     """Set bits of a binary column, eight bytes at a time."""
     digits = F.hex(data)

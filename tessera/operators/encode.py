@@ -90,6 +90,12 @@ def with_row_ids(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     return df.withColumn(name, F.get(F.array(*[F.lit(s).cast("long") for s in starts or [0]]), part) + local.bitwiseAND(F.lit((1 << 33) - 1)))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores by their values, before they are encoded: a small file may be one task's, however long its rows take."""
+    n = max(df.rdd.getNumPartitions(), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *[F.col(f"`{c}`") for c in df.columns])
+
+
 def columns_of(df: DataFrame, schema: Schema) -> list[str]:
     """The data columns, by position; row_id is not one of them."""
     found = [c for c in df.columns if c != ROW_ID]
@@ -176,14 +182,12 @@ def _native(df: DataFrame, schema: Schema, keys: Sequence[tuple[bytes, ...]], us
     every = F.array_distinct(reduce(lambda a, b: F.concat(a, b), parts)) if parts else F.array().cast("array<long>")
     out = out.select(*[F.col(f"`{c}`") for c in kept], "error", every.alias("_p"))
     bad = F.col("error").isNotNull()
-    if schema.xor_folds:
-        # folding is the parity of residues, so packing them with XOR folds
-        out = out.withColumn("_p", F.transform("_p", lambda p: p % schema.l))
-    packed = bits.pack_positions(F.col("_p"), schema.l, xor=schema.xor_folds > 0)
+    out = out.withColumn("_w", bits.words_of(F.col("_p"), schema.hash_l, schema.xor_folds))
+    packed = bits.pack_words(F.col("_w"), schema.l)
     clk = F.when(bad, F.raise_error(F.col("error")).cast("binary") if errors == "raise" else F.lit(None)).otherwise(packed)
-    out = out.withColumn("clk", clk)
-    popcount = bits.popcount(F.col("clk")) if schema.xor_folds else F.when(~bad, F.size("_p"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], "clk", popcount.alias("popcount"), *([] if errors == "raise" else ["error"]))
+    popcount = F.when(~bad, bits.count_words(F.col("_w")))
+    out = out.select(*[F.col(f"`{c}`") for c in kept], "error", clk.alias("clk"), popcount.alias("popcount"))
+    return out.select(*[F.col(f"`{c}`") for c in kept], "clk", "popcount", *([] if errors == "raise" else ["error"]))
 
 
 # ---- lists of rows -------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import catalogue
 
@@ -57,6 +58,13 @@ def test_match_quality_of_all_customers(spark, sf_dir):
     assert 0 < r.fn < 150 and r.fp > 0
 
 
+@pytest.mark.parametrize("engine", ["arrow", "native"])
+def test_encoding_is_dealt_over_all_cores(spark, sf_dir, engine):
+    """The customers lie in one file of one row group, which one task reads."""
+    held = catalogue.encoded(spark, sf_dir, engine=engine).groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 4 and max(r["count"] for r in held) < 150 // 4
+
+
 def test_entry(spark):
     import __spark_entry__
 
