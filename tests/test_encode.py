@@ -248,3 +248,11 @@ def test_narrow_plan(spark):
         plan = encode(df, schema if engine == "arrow" else from_json_dict(people(kind)), "s", engine=engine)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan
     assert F is not None
+
+
+def test_native_folds_words_and_leaves_counts_of_bad_rows_out(spark):
+    """Folded filters of the native engine are those of the Arrow engine, and where there is none there is no count."""
+    schema = Schema([IntegerSpec("n", double(NgramComparison(2), BitsPerTokenStrategy(9)))], 128, 3)
+    df = spark.createDataFrame([(0, "12345"), (1, "bad"), (2, "777")], "row_id long, n string")
+    a, b = ({r.row_id: (r.clk, r.popcount) for r in encode(df, schema, "s", engine=e, errors="column").collect()} for e in ("arrow", "native"))
+    assert a == b and a[1] == (None, None)
