@@ -206,3 +206,14 @@ def test_dice_quality_makes_no_pairs(spark, monkeypatch, repeated):
     if not repeated:
         monkeypatch.setattr(match, "dice_join", None)
     assert match.dice_quality(left, right, 0.8, truth).first() == want and want.tp and want.fp and want.fn
+
+
+def test_equal_encodings_of_many_rows_are_dealt(spark, monkeypatch):
+    """Pairs of one encoding are made by many tasks; null ids stay, null encodings meet nothing."""
+    monkeypatch.setattr(match, "IDS", 2)
+    rows = [(i if i else None, b"a" if i < 120 else b"b") for i in range(130)] + [(500, None)]
+    df = spark.createDataFrame(rows, "row_id long, clk binary")
+    found = match.exact_matches(df, df)
+    key = lambda pair: tuple(-1 if x is None else x for x in pair)
+    assert sorted(key(r) for r in found.collect()) == sorted(key((i, j)) for i, a in rows for j, b in rows if a == b and a)
+    assert found.where("left_id < 120 and left_id > 0").groupBy(F.spark_partition_id()).count().count() > 4
