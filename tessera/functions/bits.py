@@ -119,9 +119,12 @@ def pack_positions(positions: Column, length: int, xor: bool = False) -> Column:
 
 def popcount(data: Column) -> Column:
     """Set bits of a binary column, eight bytes at a time."""
-    digits = F.hex(data)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1)), F.lit(8))
-    return F.aggregate(starts, F.lit(0), lambda acc, i: acc + F.coalesce(F.bit_count(F.conv(digits.substr(i, F.lit(8)), 16, 10).cast("long")), F.lit(0)))
+    def count(digits: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1)), F.lit(16))
+        return F.aggregate(starts, F.lit(0), lambda acc, i: acc + F.coalesce(F.bit_count(F.conv(digits.substr(i, F.lit(16)), 16, -10).cast("long")), F.lit(0)))
+
+    # the digits are written once and then read by every step
+    return F.element_at(F.transform(F.array(F.hex(data)), count), 1)
 
 
 def to_base64(data: Column) -> Column:
